@@ -1,0 +1,6 @@
+"""Queries of the point-cloud engine and their SQL twins, by name."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
