@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, exact, mixing, packing
 
-MODULES = (chat, mixing)
+MODULES = (chat, exact, mixing, packing)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
