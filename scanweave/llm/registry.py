@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, exact, mixing, packing
+from . import chat, exact, html, mixing, packing, quality_rules, urls
 
-MODULES = (chat, exact, mixing, packing)
+MODULES = (chat, exact, html, mixing, packing, quality_rules, urls)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
