@@ -101,13 +101,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hits = durable(found.join(shared, "anchor", "left_semi"))
     # equal stretches as one: their smallest id, and the place of one of them to read its words from
     units = durable(hits.groupBy("anchor", "whole").agg(F.min("rid").alias("min_rid"), F.min(F.struct("rid", "th", "start", "n")).alias("at")))
-    asked = units.select(F.col("at.rid").alias("rid"), F.col("at.th").alias("th"), F.struct("anchor", "whole", "min_rid", F.col("at.start").alias("start"), F.col("at.n").alias("n")).alias("u"))
+    # under an anchor with one such unit, all its windows are where the unit is; others are counted window by window
+    crowded = units.groupBy("anchor").agg(F.count("*").alias("units")).filter("units > 1").select("anchor")
+    asked = units.join(crowded, "anchor", "left_semi").select(F.col("at.rid").alias("rid"), F.col("at.th").alias("th"), F.struct("anchor", "whole", "min_rid", F.col("at.start").alias("start"), F.col("at.n").alias("n")).alias("u"))
     asked = asked.groupBy("rid", "th").agg(F.collect_list("u").alias("units"))
     one = docs.join(asked, ["rid", "th"]).dropDuplicates(["rid", "th"])
     windows = durable(one.select("text", "units").mapInArrow(_window_hashes(window), "anchor long, whole long, min_rid long, k int, h long"))
     least = windows.groupBy("anchor", "h").agg(F.min("min_rid").alias("least"))
     # per unit, the smallest id of each of its windows, in order; at most window / 2 + 1 of them
     known = windows.join(least, ["anchor", "h"]).groupBy("anchor", "whole").agg(F.sort_array(F.collect_list(F.struct("k", "least"))).alias("ks"))
+    same = F.transform(F.sequence(F.lit(0), F.col("at.n") - 1), lambda k: F.struct(k.alias("k"), F.col("min_rid").alias("least")))
+    known = units.join(known, ["anchor", "whole"], "left").select("anchor", "whole", F.coalesce("ks", same).alias("ks"))
     marked = hits.join(known, ["anchor", "whole"])
     starts = F.transform(F.filter("ks", lambda x: x["least"] < F.col("rid")), lambda x: x["k"] + F.col("start"))
     marked = marked.select("rid", "th", starts.alias("starts")).filter(F.size("starts") > 0)

@@ -126,7 +126,7 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[k - width : k - width + n])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows, so that a piece has about most_bytes of text or one row."""
     for batch in batches:
         if not batch.num_rows:
