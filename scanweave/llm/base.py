@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only where the session names none is a local one set."""
+    sc = spark.sparkContext
+    got = sc._jsc.sc().getCheckpointDir()
+    if got.isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scanweave-"))
+        got = sc._jsc.sc().getCheckpointDir()
+    return got.get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df written once to the folder all executors share (spark.checkpoint.dir), so that lost executors cost no
-    recomputation and later readers see the same rows. Only where the session names no folder is a local one set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scanweave-"))
+    """df checkpointed once to the shared folder, so that lost executors cost no recomputation and later readers see
+    the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same by way of a Parquet table in the shared folder: compressed, and later reads take the columns they need.
+    The tables go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the session has ended: its files go with its folder
+        pass
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
     """big joined with a table of so many counted rows: broadcast up to BROADCAST_ROWS, else shuffled, where adaptive
     execution splits skewed partitions of big."""
