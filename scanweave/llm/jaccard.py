@@ -8,11 +8,12 @@ a = ceil(percent * n / 100), the first n - a + m shingles of both have m in comm
 whose prefix holds frequent shingles, and so would have many candidates, takes a longer one and asks for more matches
 (m is the one of least estimated cost), and a pair must share the smaller m of the two.
 
-Pairs inside a group of near copies are not made as rows. Classes that share prefix shingles with the same pivot are
-put in one group, which is only a way to divide the work. Inside a group all classes are compared with one that is
-close to most; those that link to it are connected already, and the others meet the whole group in blocks of bounded
-size, each block a matrix product. Pairs of different groups come from the prefixes. Nothing is capped: every pair that
-shares enough prefix shingles is compared exactly, but for pairs already known to be connected.
+Pairs inside a large group of near copies are not made as rows. Classes that share prefix shingles with the same pivot
+are put in one group, which is only a way to divide the work. Inside a large group all classes are compared with one
+that is close to most; those that link to it are connected already, and the others meet the whole group in blocks of
+bounded size, each block a matrix product. All other pairs come from the prefixes, and are compared if the shingles they
+share there, and all that lie behind the prefixes, would be enough. Nothing is capped: every pair that can link is
+compared exactly, but for pairs already known to be connected.
 
 Edge cases: a null or empty text has an empty set and links with nothing; shorter texts than a shingle are one; copies
 are one class; a null identifier counts as larger than any other; rows of one identifier with different texts are
@@ -38,6 +39,8 @@ COUNTERS = 1 << 18
 #: Matches asked for, and what a comparison costs per shingle against reading a posting.
 MATCHES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16), 1 / 8
 BLOCK = 256
+#: Groups of more classes than this are compared in blocks.
+SMALL_GROUP = 16
 NO_ID = (1 << 63) - 1
 #: Rows of (id, hash, node) that are broadcast to read the texts of candidates; past it texts are shuffled.
 WANTED_ROWS = 250_000
@@ -210,27 +213,33 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # groups: classes that share prefix shingles with one pivot
     near = hits.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"), F.max("m").alias("m"))
     near = near.filter("c >= 2 and c >= m").groupBy("node").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("best"))
-    groups = written(components(near.select(F.col("node").alias("a"), (-F.col("best.p")).alias("b"))).withColumnRenamed("root", "grp"))
+    groups = components(near.select(F.col("node").alias("a"), (-F.col("best.p")).alias("b"))).withColumnRenamed("root", "grp")
+    large = groups.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL_GROUP).select("grp")
+    groups = written(groups.join(large, "grp"))
     # the class of a group that is close to most: the one whose prefix is shared the most
     share = hits.join(groups, "node").groupBy("grp", "node").agg((F.count("*") / F.max(F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("m"))).alias("r"))
     heads = share.groupBy("grp").agg(F.max(F.struct("r", (-F.col("node")).alias("p"))).alias("best")).select("grp", (-F.col("best.p")).alias("head"))
 
-    # pairs of different groups that share enough prefix shingles
-    # a shingle's postings per group, told apart by it: classes without a group are groups of their own
+    # pairs outside the large groups that share enough prefix shingles: a class without a group is one of its own
     tagged = hits.join(groups, "node", "left").select("tok", "node", "n", "m", F.coalesce("grp", -F.col("node") - 1).alias("grp"))
     mixed = tagged.groupBy("tok").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).filter("g1 < g2").select("tok")
     tagged = written(tagged.join(mixed, "tok", "left_semi"))
     one, two = (tagged.select("tok", *(F.col(c).alias(c + s) for c in ("node", "n", "m", "grp"))) for s in "12")
     fits = (F.col("node1") < F.col("node2")) & (F.col("grp1") != F.col("grp2")) & (percent * F.greatest("n1", "n2") <= 100 * F.least("n1", "n2"))
-    pairs = one.join(two, "tok").filter(fits).groupBy("node1", "node2").agg(F.count("*").alias("c"), F.first(F.least("m1", "m2")).alias("m"))
-    pairs = written(pairs.filter("c >= m").select("node1", "node2"))
+    # shingles behind the prefix, and the intersection that a link needs: percent * (n1 + n2) / (100 + percent)
+    behind = lambda k: F.least(F.floor((percent * F.col(f"n{k}") + 99) / 100), F.col(f"n{k}")) - F.col(f"m{k}")
+    needed = F.ceil(percent * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
+    pairs = one.join(two, "tok").filter(fits).groupBy("node1", "node2").agg(F.count("*").alias("c"), F.first(F.least("m1", "m2")).alias("m"), F.first(F.greatest(behind(1), behind(2), F.lit(0))).alias("behind"), F.first(needed).alias("needed"))
+    pairs = written(pairs.filter("c >= m and c + behind >= needed").select("node1", "node2"))
 
     # whole sets of all classes that are compared
     wanted = groups.select("node").unionByName(pairs.select(F.col("node1").alias("node"))).unionByName(pairs.select(F.col("node2").alias("node"))).distinct()
     wanted = written(classes.join(wanted, "node").select("node", F.col("rep.rid").alias("rid"), F.col("rep.th").alias("th")))
     few = wanted.count() <= WANTED_ROWS
     texts = rows.join(F.broadcast(wanted) if few else wanted, ["rid", "th"]).select("node", "text")
-    whole = written(texts.mapInArrow(_whole_sets(k), "node long, shingles array<long>").dropDuplicates(["node"]))
+    if not members.groupBy("rid", "th").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():  # repeated rows
+        texts = texts.dropDuplicates(["node"])
+    whole = written(texts.mapInArrow(_whole_sets(k), "node long, shingles array<long>"))
 
     xs, ys = whole.select(F.col("node").alias("node1"), F.col("shingles").alias("x")), whole.select(F.col("node").alias("node2"), F.col("shingles").alias("y"))
     across = written(pairs.join(xs, "node1").join(ys, "node2").filter(_linked(percent)).select(F.col("node1").alias("a"), F.col("node2").alias("b")))
