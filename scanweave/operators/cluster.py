@@ -7,6 +7,8 @@ are also operators of their own (joins.py).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -17,6 +19,10 @@ from .frames import Frame, cell_ids, connected, half_offsets, pairs_within, per_
 LABELS = "frame_id bigint, point_idx bigint, cluster_id int"
 
 
+def _run(points: DataFrame, names: tuple[str, ...], kernel: Callable[[Frame], Frame], keep: tuple[str, ...]) -> DataFrame:
+    return per_frame(points.select(*dict.fromkeys((*names, *keep))), kernel, LABELS, keep=keep)
+
+
 def numbered(point_idx: np.ndarray, label: np.ndarray, low: int, high: int, rank: dict[int, tuple] | None = None) -> Frame:
     """Rows of the labels whose size is within limits, numbered by first point or by the given rank; -1 is none."""
     kept = label >= 0
@@ -50,7 +56,7 @@ def _by_cells(f: Frame, cells: np.ndarray, inside: np.ndarray, low: int, high: i
     return numbered(f["point_idx"], label, low, high)
 
 
-def cluster_grid(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def cluster_grid(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
     """8-connected occupied cells of the plane."""
 
     def kernel(f: Frame) -> Frame:
@@ -58,17 +64,17 @@ def cluster_grid(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         inside = (np.abs(xy) <= cfg.max_range).all(1)
         return _by_cells(f, np.floor(xy / cfg.grid_resolution).astype(np.int64), inside, cfg.min_cluster_size, cfg.max_cluster_size)
 
-    return per_frame(points.select("frame_id", "point_idx", "x", "y"), kernel, LABELS)
+    return _run(points, ("frame_id", "point_idx", "x", "y"), kernel, keep)
 
 
-def cluster_voxel(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def cluster_voxel(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
     """26-connected occupied voxels."""
 
     def kernel(f: Frame) -> Frame:
         xyz = _xyz(f)
         return _by_cells(f, np.floor(xyz / cfg.voxel_grid_size).astype(np.int64), np.ones(len(xyz), bool), cfg.min_cluster_size, cfg.max_cluster_size)
 
-    return per_frame(points.select("frame_id", "point_idx", "x", "y", "z"), kernel, LABELS)
+    return _run(points, ("frame_id", "point_idx", "x", "y", "z"), kernel, keep)
 
 
 XY_BOUND, Z_BOUND = 30.0, 2.0
@@ -81,7 +87,7 @@ def dbscan_cells(xyz: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
     return cells, ((cells >= 0) & (cells <= np.trunc(2 * bound / eps))).all(1)
 
 
-def cluster_dbscan(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def cluster_dbscan(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
     """Density clusters; a point counts among its neighbours. A border point belongs to the first cluster that reaches
     it, so to the least one among its core neighbours. Points outside the grid are no one's neighbour, but can seed."""
 
@@ -120,14 +126,14 @@ def cluster_dbscan(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                             todo.append(j)
         return numbered(f["point_idx"], label, cfg.min_cluster_size, cfg.max_cluster_size, {int(k): (k,) for k in np.unique(label)})
 
-    return per_frame(points.select("frame_id", "point_idx", "x", "y", "z"), kernel, LABELS)
+    return _run(points, ("frame_id", "point_idx", "x", "y", "z"), kernel, keep)
 
 
 #: Frames above so many points are clustered by the centroids of voxels of this size.
 MANY, COARSE = 5000, 0.04
 
 
-def cluster_euclidean(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def cluster_euclidean(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
     """Components of points within the tolerance, largest first. In a frame of more than MANY points the members are
     voxel centroids: x, y, z are theirs, and point_idx is that of the voxel's first point."""
 
@@ -145,7 +151,7 @@ def cluster_euclidean(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         at = np.searchsorted(idx, got["point_idx"])
         return got | {"x": xyz[at, 0], "y": xyz[at, 1], "z": xyz[at, 2]}
 
-    return per_frame(points.select("frame_id", "point_idx", "x", "y", "z"), kernel, LABELS + ", x double, y double, z double")
+    return _run(points, ("frame_id", "point_idx", "x", "y", "z"), kernel, tuple(dict.fromkeys((*keep, "x", "y", "z"))))
 
 
 def ring_steps() -> np.ndarray:
@@ -155,7 +161,7 @@ def ring_steps() -> np.ndarray:
     return out * np.pi / 180.0
 
 
-def cluster_depth(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def cluster_depth(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
     """Regions grown over the range image from seeds in row order. The step angle is that of the ring one comes from, so
     reaching is directed and a region depends on where it starts."""
     step, wide, limit = ring_steps(), 2 * np.pi / COLUMNS, np.radians(cfg.depth_theta_thr)
@@ -193,7 +199,7 @@ def cluster_depth(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         rank = {int(s): (ring[s] * COLUMNS + col[s],) for s in np.unique(label) if s >= 0}
         return numbered(f["point_idx"], label, cfg.min_cluster_size, cfg.max_cluster_size, rank)
 
-    return per_frame(points.select("frame_id", "point_idx", "x", "y", "z", "ring"), kernel, LABELS)
+    return _run(points, ("frame_id", "point_idx", "x", "y", "z", "ring"), kernel, keep)
 
 
 NEIGHBOURS, NO_CORE = 8, 2.0
@@ -223,7 +229,7 @@ def reach_edges(xyz: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray, n
     return u[own], v[own], w[own]
 
 
-def cluster_hdbscan(points: DataFrame, cfg: Config = DEFAULT, most: int = 300) -> DataFrame:
+def cluster_hdbscan(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ...] = (), most: int = 300) -> DataFrame:
     """Components of the lightest edges, joined while together they have at most `most` points; no distance limit."""
 
     def kernel(f: Frame) -> Frame:
@@ -245,14 +251,14 @@ def cluster_hdbscan(points: DataFrame, cfg: Config = DEFAULT, most: int = 300) -
         label = np.array([find(i) for i in range(len(xyz))], np.int64)
         return numbered(f["point_idx"], label, cfg.min_cluster_size, most)
 
-    return per_frame(points.select("frame_id", "point_idx", "x", "y", "z"), kernel, LABELS)
+    return _run(points, ("frame_id", "point_idx", "x", "y", "z"), kernel, keep)
 
 
 CLUSTERERS = {"grid": cluster_grid, "voxel": cluster_voxel, "dbscan": cluster_dbscan, "euclidean": cluster_euclidean, "depth": cluster_depth, "hdbscan": cluster_hdbscan}
 
 
-def cluster(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """By the configured method; an unknown name is an error."""
+def cluster(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """By the configured method, with columns to keep; an unknown name is an error."""
     if cfg.clustering_algorithm not in CLUSTERERS:
         raise ValueError(f"unknown clusterer {cfg.clustering_algorithm!r}; known: {sorted(CLUSTERERS)}")
-    return CLUSTERERS[cfg.clustering_algorithm](points, cfg)
+    return CLUSTERERS[cfg.clustering_algorithm](points, cfg, keep)

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 Frame = dict[str, np.ndarray]
 
 
-def per_frame(df: DataFrame, kernel: Callable[[Frame], Frame], schema: str, order: str = "point_idx", frame: str = "frame_id") -> DataFrame:
-    """kernel(columns of a frame, in order) -> columns of its result rows; the frame's id need not be among them."""
+def per_frame(df: DataFrame, kernel: Callable[[Frame], Frame], schema: str, order: str = "point_idx", frame: str = "frame_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """kernel(columns of a frame, in order) -> columns of its result rows; the frame's id need not be among them. Columns
+    of `keep`, numbers, go with the rows of the result that have their `order` value, so no join has to bring them."""
+    schema += "".join(f", {c} double" for c in keep)
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,6 +28,9 @@ def per_frame(df: DataFrame, kernel: Callable[[Frame], Frame], schema: str, orde
             t = pa.Table.from_batches(held).combine_chunks()
             got = kernel({n: t.column(n).to_numpy() for n in t.column_names})
             n = len(next(iter(got.values()))) if got else 0
+            if keep:
+                at = np.searchsorted(t.column(order).to_numpy(), got[order])
+                got = {c: t.column(c).to_numpy()[at] for c in keep} | got
             got = {frame: np.full(n, t.column(frame)[0].as_py()), **got}
             return pa.RecordBatch.from_arrays([pa.array(got[c], from_pandas=True) for c in names], names)
 

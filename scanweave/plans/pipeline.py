@@ -29,11 +29,7 @@ def obstacles(points: DataFrame, cfg: Config = BATCH) -> DataFrame:
 
 def clustered(points: DataFrame, cfg: Config = BATCH) -> DataFrame:
     """Members of merged clusters."""
-    left = obstacles(points, cfg)
-    labels = cluster(left, cfg)
-    if "x" in labels.columns:  # members of their own
-        labels = labels.drop("x", "y", "z")
-    return merge_clusters(left.join(labels, ["frame_id", "point_idx"]), cfg)
+    return merge_clusters(cluster(obstacles(points, cfg), cfg, keep=("x", "y", "z", "intensity")), cfg)
 
 
 def cluster_table(points: DataFrame, cfg: Config = BATCH) -> DataFrame:

@@ -418,9 +418,9 @@ def avg_intensity(spark: SparkSession, sf: str) -> DataFrame:
 _COV = ("cxx", "cyy", "czz", "cxy", "cxz", "cyz")
 
 
-@query("mean_cov", twin(f"select frame_id, cluster_id, round(x, 6) as mean_x, round(y, 6) as mean_y, {r('mean_z', *_COV, digits=9)} from mom", "mom"))
+@query("mean_cov", twin(f"select frame_id, cluster_id, round(x, 6) as mean_x, round(y, 6) as mean_y, round(mean_z, 9) as mean_z, {r(*_COV, digits=12)} from mom", "mom"))
 def mean_cov(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ft.moments(_merged(spark, sf)).select("frame_id", "cluster_id", "mean_x", "mean_y", "mean_z", *_COV), 9, mean_x=6, mean_y=6)
+    return rounded(ft.moments(_merged(spark, sf)).select("frame_id", "cluster_id", "mean_x", "mean_y", "mean_z", *_COV), 12, mean_x=6, mean_y=6, mean_z=9)
 
 
 _EIG = ("linearity", "planarity", "scattering", "verticality")
