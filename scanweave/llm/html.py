@@ -3,9 +3,10 @@
 The standard library's parser feeds its events to a collector that cuts the page into lines: one per block element.
 Elements that never hold main text (menus, forms, scripts, asides, adverts, comments ...) are skipped by tag, role or
 class as they stream by. Each line has a text-to-tag ratio; the ratios, smoothed by a Gaussian over neighbouring lines,
-are split by a threshold, and the lines above it show where the content is: the articles that hold some of them, or
-without such elements the deepest container that holds most of their text. All lines of the selected regions are the
-text, so that short paragraphs between long ones stay.
+are split by a threshold, and the lines above it show where the content is: the lowest container of all of them, which
+grows to those around it while they add more text than links. Sections, lists and tables are blocks of the container
+around them. Content lines count wherever they are, in an article or not; only a <main> with more than half of their
+text is taken at its word. All lines of the region are the text, so that short paragraphs between long ones stay.
 
 Edge cases: a null or empty page, and one without text, has an empty text; unclosed and misnested elements end with
 their container; repeated rows are extracted alike; an empty table gives no rows; other columns are ignored.
@@ -31,6 +32,9 @@ CONTAINERS = frozenset("html body article main section div td center table ul ol
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr th thead tbody tfoot caption blockquote pre figure figcaption address hr br header hgroup details summary".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Containers that are blocks of the one around them, and those around the whole page.
+INNER = frozenset("section td table ul ol dl".split())
+OUTER = frozenset(("html", "body"))
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 SKIPPED_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising advertorial banner sponsor sponsored promo promoted promotion comment comments disqus respond replies "
@@ -44,8 +48,6 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 SIGMA, RADIUS = 1.0, 2
 KERNEL = [math.exp(-(i * i) / (2 * SIGMA * SIGMA)) for i in range(-RADIUS, RADIUS + 1)]
-#: Part of the content lines' text that a container must hold to be the region.
-MOST = 0.7
 
 
 class Lines(HTMLParser):
@@ -54,11 +56,18 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        #: Of each line: the tag of its block, and how much of it was read inside links.
+        self.kinds: list[str] = []
+        self.linked: list[int] = []
         self.articles: set[int] = set()
+        self.mains: set[int] = set()
+        self.names: list[str] = [""]
         self.stack: list[tuple[str, int]] = []
         self.path: tuple[int, ...] = ()
         self.text: list[str] = []
         self.tags = self.made = self.depth = 0
+        self.kind = ""
+        self.in_link, self.link_chars = False, 0
         self.skip: str | None = None
 
     def flush(self) -> None:
@@ -66,8 +75,10 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 self.lines.append((text, max(self.tags, 1), self.path))
+                self.kinds.append(self.kind)
+                self.linked.append(min(self.link_chars, len(text)))
                 self.tags = 0
-            self.text = []
+            self.text, self.link_chars = [], 0
 
     def _unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in SKIPPED:
@@ -104,18 +115,24 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+            self.kind = tag
         if tag in VOID:
             return
         if (attrs or tag in SKIPPED or tag == "header") and self._unwanted(tag, attrs):
             self.flush()
             self.skip, self.depth = tag, 1
             return
+        if tag == "a":
+            self.in_link = True
         if tag in CONTAINERS:
             self.made += 1
+            self.names.append(tag)
             self.stack.append((tag, self.made))
             self.path = (*self.path, self.made)
             if tag in ("article", "main") or ("role", "main") in attrs:
                 self.articles.add(self.made)
+                if tag != "article":
+                    self.mains.add(self.made)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skip is None:
@@ -134,8 +151,11 @@ class Lines(HTMLParser):
                 return
             self.skip = None  # the element around the skipped one ends
         self.tags += 1
+        if tag == "a":
+            self.in_link = False
         if tag in BLOCKS:
             self.flush()
+            self.kind = ""
         if tag in CONTAINERS:
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] == tag:
@@ -146,6 +166,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.skip is None:
             self.text.append(data)
+            if self.in_link:
+                self.link_chars += len(data)
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -158,12 +180,57 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_lines(lines: list[tuple[str, int, tuple[int, ...]]]) -> list[int]:
-    """Lines whose smoothed text-to-tag ratio reaches the threshold: one standard deviation, or the mean if less."""
-    ratio = smooth([len(t) / n for t, n, _ in lines])
+def content_lines(lines: list[tuple[str, int, tuple[int, ...]]], linked: list[int]) -> list[int]:
+    """Lines whose smoothed text-to-tag ratio reaches the threshold: one standard deviation, or the mean if less. Those
+    that reach it by their neighbours only, or are mostly links, count where there are no others."""
+    own = [len(t) / n for t, n, _ in lines]
+    ratio = smooth(own)
     mean = sum(ratio) / len(ratio)
     threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)))
-    return [k for k, r in enumerate(ratio) if r >= threshold]
+    hits = [k for k, r in enumerate(ratio) if r >= threshold]
+    return [k for k in hits if own[k] >= threshold and 2 * linked[k] < len(lines[k][0])] or hits
+
+
+def region(p: Lines) -> tuple[int, int]:
+    """First line of the region and the one after its last. The lines of a container follow each other."""
+    lines, paths = p.lines, [path for _, _, path in p.lines]
+    hits = content_lines(lines, p.linked)
+    said = [k for k in hits if not p.mains.isdisjoint(paths[k])]
+    if 2 * sum(len(lines[k][0]) for k in said) > sum(len(lines[k][0]) for k in hits):
+        hits = said
+    # the lowest container of all content lines, or the outermost article or main around it
+    first, last = paths[hits[0]], paths[hits[-1]]
+    depth = 0
+    while depth < min(len(first), len(last)) and first[depth] == last[depth]:
+        depth += 1
+    depth = next((d + 1 for d in range(depth) if first[d] in p.articles), depth)
+    lo, hi = hits[0], hits[-1] + 1
+
+    def grown(d: int) -> tuple[int, int]:
+        a, b = lo, hi
+        while a > 0 and (not d or paths[a - 1][d - 1 : d] == first[d - 1 : d]):
+            a -= 1
+        while b < len(lines) and (not d or paths[b][d - 1 : d] == first[d - 1 : d]):
+            b += 1
+        return a, b
+
+    lo, hi = grown(depth)
+    while depth:
+        a, b = grown(depth - 1)
+        added = [*range(a, lo), *range(hi, b)]
+        inner, name = p.names[first[depth - 1]], p.names[first[depth - 2]] if depth > 1 else ""
+        own = [k for k in added if len(paths[k]) == depth - 1]
+        rank = min((x for x in p.kinds[lo:hi] if x in HEADINGS), default="h7")
+        titled = any(k < lo and p.kinds[k] in HEADINGS and p.kinds[k] < rank for k in own)
+        series = inner == "article" and any(p.names[paths[k][depth - 1]] == "article" for k in added if len(paths[k]) >= depth)
+        block = inner in INNER and (inner != "section" or any(len(paths[k]) < depth or p.names[paths[k][depth - 1]] in INNER for k in added))
+        if added and not (block or titled or series):
+            if not name or name in OUTER or first[depth - 1] in p.mains:
+                break
+            if 2 * sum(p.linked[k] for k in added) >= sum(len(lines[k][0]) for k in added):
+                break
+        depth, lo, hi = depth - 1, a, b
+    return lo, hi
 
 
 def main_text(html: str | None) -> str:
@@ -176,21 +243,8 @@ def main_text(html: str | None) -> str:
     p.flush()
     if not p.lines:
         return ""
-    hits = content_lines(p.lines)
-    regions = set()
-    for k in hits:  # the outermost article or main element of a content line
-        regions.update([n for n in p.lines[k][2] if n in p.articles][:1])
-    if not regions:
-        weight: dict[int, int] = {}
-        for k in hits:
-            for n in p.lines[k][2]:
-                weight[n] = weight.get(n, 0) + len(p.lines[k][0])
-        total = sum(len(p.lines[k][0]) for k in hits)
-        held = [n for n, w in weight.items() if w >= MOST * total]
-        if not held:
-            return "\n".join(t for t, _, _ in p.lines)
-        regions = {max(held)}  # containers are numbered as they open, so the deepest of a chain is the last
-    return "\n".join(t for t, _, path in p.lines if not regions.isdisjoint(path))
+    lo, hi = region(p)
+    return "\n".join(t for t, _, _ in p.lines[lo:hi])
 
 
 def extract(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
