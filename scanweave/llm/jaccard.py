@@ -9,11 +9,13 @@ whose prefix holds frequent shingles, and so would have many candidates, takes a
 (m is the one of least estimated cost), and a pair must share the smaller m of the two.
 
 Pairs inside a large group of near copies are not made as rows. Classes that share prefix shingles with the same pivot
-are put in one group, which is only a way to divide the work. Inside a large group all classes are compared with one
-that is close to most; those that link to it are connected already, and the others meet the whole group in blocks of
-bounded size, each block a matrix product. All other pairs come from the prefixes, and are compared if the shingles they
-share there, and all that lie behind the prefixes, would be enough. Nothing is capped: every pair that can link is
-compared exactly, but for pairs already known to be connected.
+are put in one group, which is only a way to divide the work. Inside a large group all classes are compared with one, its
+head, that is close to most, and go on as their differences from it: two intersections with the head, and that of the
+differences, give the intersection of two sets. Where links are counted, all pairs of the group then meet in blocks of
+bounded size, each block a product of bit matrices, and each class sums the rows of those it links to; where only components are
+asked for, the classes that do not link to the head meet the whole group. All other pairs come from the prefixes, and are
+compared if the shingles they share there, and all that lie behind the prefixes, would be enough. Nothing is capped: with
+links, every pair that can link is compared exactly; without, all but pairs already known to be connected.
 
 Edge cases: a null or empty text has an empty set and links with nothing; shorter texts than a shingle are one; copies
 are one class; a null identifier counts as larger than any other; rows of one identifier with different texts are
@@ -38,7 +40,7 @@ SHINGLE, PERCENT = 4, 85
 COUNTERS = 1 << 18
 #: Matches asked for, and what a comparison costs per shingle against reading a posting.
 MATCHES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16), 1 / 8
-BLOCK = 256
+BLOCK = 1024
 #: Groups of more classes than this are compared in blocks.
 SMALL_GROUP = 16
 NO_ID = (1 << 63) - 1
@@ -125,71 +127,67 @@ def _whole_sets(k: int):
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of left and right sets, as products of 0/1 matrices over the shingles that recur."""
+    """Sizes of all intersections of left and right sets, by bit matrices over the shingles that recur."""
     lens = [len(x) for x in (*left, *right)]
-    every, code, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    _, code, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
     place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[code]
     row = np.repeat(np.arange(len(lens)), lens)
     width = int((times > 1).sum())
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int32)
     for lo in range(0, width, 4096):
         part = (place >= lo) & (place < lo + 4096)
-        m = np.zeros((len(lens), min(4096, width - lo)), np.float32)
-        m[row[part], place[part] - lo] = 1
-        out += m[: len(left)] @ m[len(left) :].T
-    return out.astype(np.int64)
+        m = np.zeros((len(lens), -(-min(4096, width - lo) // 64) * 64), bool)
+        m[row[part], place[part] - lo] = True
+        bits = np.packbits(m, axis=1).view(U).T.copy()
+        for x in bits:
+            out += np.bitwise_count(x[: len(left), None] & x[None, len(left) :])
+    return out
 
 
-def _cell_links(percent: int):
-    """Links of each cell: of its open classes with all of its classes. Of links in a cell only those are given that
-    connect what was not connected in it."""
+def _cell_links(percent: int, count: bool):
+    """Links of each cell: of its left classes with its right ones. A row (a, b, 0) is a link; of those in a cell only the
+    ones are given that connect what was not connected in it. With `count`, a row (a, a, w) says that a links to w rows."""
 
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+    def links(rows: list[tuple], same: bool) -> list[tuple[int, int, int]]:
         left, right = [r for r in rows if r[1]], [r for r in rows if not r[1]]
         if not left or not right:
             return []
-        common = _shared([r[3] for r in left], [r[3] for r in right])
-        nl, nr = np.array([len(r[3]) for r in left])[:, None], np.array([len(r[3]) for r in right])[None]
-        a, b = np.nonzero((100 * common >= percent * (nl + nr - common)) & (np.array([r[0] for r in left])[:, None] != np.array([r[0] for r in right])[None]))
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        core = [r[0] for r in right if r[2]]
-        for x in core[1:]:
-            root[find(x)] = find(core[0])
+        column = lambda part, c: np.array([r[c] for r in part])
+        (il, cl, nl, ml, wl), (ir, cr, nr, mr, wr) = ([column(part, c) for c in (0, 2, 3, 4, 6)] for part in (left, right))
+        common = _shared([r[7] for r in left], [r[7] for r in right]) + ml[:, None] + mr[None] - rows[0][5]
+        linked = (100 * common >= percent * (nl[:, None] + nr[None] - common)) & (il[:, None] != ir[None])
         out = []
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = find(left[i][0]), find(right[j][0])
-            if x != y:
-                root[x] = y
-                out.append((left[i][0], right[j][0]))
+        if count:
+            sums = [(il, linked @ wr)] + [(ir, wl @ linked)] * (not same)
+            out = [(x, x, w) for ids, ws in sums for x, w in zip(ids.tolist(), ws.tolist(), strict=True) if w]
+        label = np.where(cr, 0, np.arange(1, len(right) + 1))  # of what is connected in the cell; the core is 0
+        for i in np.flatnonzero((linked & ~(cl[:, None] & cr[None])).any(axis=1)).tolist():
+            js = np.flatnonzero(linked[i])
+            roots, at = np.unique(label[js], return_index=True)
+            out += [(int(il[i]), int(ir[j]), 0) for r, j in zip(roots.tolist(), js[at].tolist(), strict=True) if r or not cl[i]]
+            label[np.isin(label, roots)] = 0 if cl[i] else roots[0]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, rows = (0, 0, 1), []
         for b in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, int]] = []
             keys = list(zip(*(b.column(c).to_pylist() for c in ("grp", "open_block", "block")), strict=True))
-            values = b.column("shingles")
+            values = b.column("diff")
             ends, flat = values.offsets.to_numpy(), values.values.to_numpy()
-            for i, (node, side, core) in enumerate(zip(*(b.column(c).to_pylist() for c in ("node", "side", "core")), strict=True)):
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in ("node", "side", "core", "n", "met", "h", "rows")), strict=True)):
                 if keys[i] != key:
-                    found += links(rows)
+                    found += links(rows, key[1] == key[2])
                     key, rows = keys[i], []
-                rows.append((node, side, core, flat[ends[i] : ends[i + 1]].copy()))
+                rows.append((*row, flat[ends[i] : ends[i + 1]].copy()))
             yield _edges(found)
-        yield _edges(links(rows))
+        yield _edges(links(rows, key[1] == key[2]))
 
     return run
 
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+def _edges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], ["a", "b", "w"])
 
 
 def _linked(percent: int):
@@ -197,14 +195,16 @@ def _linked(percent: int):
     return 100 * common >= percent * (F.size("x") + F.size("y") - common)
 
 
-def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and `first`: whether the row's text is the
-    component's representative (the smallest id; of its rows with different texts, the one with the least hash)."""
+    component's representative (the smallest id; of its rows with different texts, the one with the least hash).
+    With `links` also class_id, the smallest id of the rows with the same set, and n_links, the number of other rows that
+    the row links to, those of its class among them."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), F.xxhash64("text").alias("th"), "text")
     freq = summed(rows.select("text"), _counts(k), COUNTERS)
     members = written(rows.mapInArrow(_describe(k, percent, freq), "rid long, th long, n long, s1 long, s2 long, m int, prefix array<long>"))
-    classes = members.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("rid", "th")).alias("rep"), F.first("m").alias("m"), F.first("prefix").alias("prefix"))
+    classes = members.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("rid", "th")).alias("rep"), F.first("m").alias("m"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay
     postings = classes.select("node", "n", "m", F.explode("prefix").alias("tok"))
     pivots = postings.groupBy("tok").agg(F.min("node").alias("pivot"), F.count("*").alias("df")).filter("df > 1").drop("df")
@@ -246,25 +246,37 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     inside = whole.join(groups, "node").join(heads, "grp")
     star = inside.select("grp", "head", "node", F.col("shingles").alias("x")).join(whole.select(F.col("node").alias("head"), F.col("shingles").alias("y")), "head")
-    core = written(star.select("grp", "node", "head", ((F.col("node") == F.col("head")) | _linked(percent)).alias("core")))
-    # blocks: the classes that are still open, against all classes of their group
-    sizes = core.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(~F.col("core")) / BLOCK).cast("int").alias("open_blocks")).filter("open_blocks > 0")
-    ready = whole.join(core.join(sizes, "grp"), "node")
+    both = (F.size("x").cast("long").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("met"), F.size("y").cast("long").alias("h"))
+    core = written(star.select("grp", "node", "head", ((F.col("node") == F.col("head")) | _linked(percent)).alias("core"), *both, F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("diff")))
+    # blocks: the classes that are still open, or all of them if links are counted, against all classes of their group
+    still = F.lit(True) if links else ~F.col("core")
+    sizes = core.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(still) / BLOCK).cast("int").alias("open_blocks")).filter("open_blocks > 0")
+    weights = classes.select("node", "rows")
+    ready = core.join(sizes, "grp").join(weights, "node")
     mod = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    lefts = ready.filter(~F.col("core")).select("grp", "node", "core", "shingles", F.lit(True).alias("side"), mod("open_blocks").alias("open_block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rights = ready.select("grp", "node", "core", "shingles", F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), F.col("open_blocks") - 1)).alias("open_block"), mod("blocks").alias("block"))
+    kept = ("grp", "node", "core", "n", "met", "h", "rows", "diff")
+    # with links the same classes are on both sides, and a pair of blocks meets once
+    lefts = ready.filter(still).select(*kept, F.lit(True).alias("side"), mod("open_blocks").alias("open_block"), F.explode(F.sequence(mod("open_blocks") if links else F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rights = ready.select(*kept, F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), mod("blocks") if links else F.col("open_blocks") - 1)).alias("open_block"), mod("blocks").alias("block"))
     cell = ["grp", "open_block", "block"]
-    met = written(lefts.unionByName(rights).repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_links(percent), "a long, b long"))
-
-    links = across.unionByName(core.filter("core and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).unionByName(met)
-    roots = components(links)
-    named = classes.select("s1", "s2", "n", "node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = written(lefts.unionByName(rights).repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cell_links(percent, links), "a long, b long, w long"))
+
+    edges = across.unionByName(core.filter("core and node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))).unionByName(met.filter("a <> b").select("a", "b"))
+    roots = components(edges)
+    named = classes.select("s1", "s2", "n", "node", "rep", "rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    extra = []
+    if links:
+        ways = across.unionByName(across.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(weights.withColumnRenamed("node", "b"), "b").select("a", F.col("rows").alias("w"))
+        counts = written(ways.unionByName(met.filter("a = b").select("a", "w")).groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("w")))
+        named = named.join(counts, "node", "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("w", F.lit(0)))
+        extra = ["rep", "n_links"]
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    ids = named.join(least, "root").select("s1", "s2", "n", "least")
+    ids = named.join(least, "root").select("s1", "s2", "n", "least", *extra)
     found = members.select("rid", "th", "n", "s1", "s2").join(ids, ["s1", "s2", "n"], "left").withColumn("least", F.coalesce("least", F.struct("rid", "th")))
     plain = lambda c: F.when(c != NO_ID, c)
     first = (F.col("rid") == F.col("least.rid")) & (F.col("th") == F.col("least.th"))
-    return found.select(plain(F.col("rid")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(F.col("least.rid")).alias("component_id"), F.col("th").alias("text_hash"), first.alias("first"))
+    more = (plain(F.coalesce("rep.rid", "rid")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")) if links else ()
+    return found.select(plain(F.col("rid")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(F.col("least.rid")).alias("component_id"), F.col("th").alias("text_hash"), first.alias("first"), *more)
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -279,7 +291,7 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_components(table(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}

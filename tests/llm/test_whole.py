@@ -43,3 +43,60 @@ def test_html_content_in_and_beside_articles():
 def test_html_menus_stay_out():
     assert html.main_text(around(f"<div id=content>{paragraphs(2)}</div>")) == "\n".join([f"{LONG} {LONG} {LONG}"] * 2)
     assert html.main_text(f"<body><main><h1>T</h1>{paragraphs(2)}</main><div><p>{LONG}</p></div></body>") == "\n".join(["T", *[f"{LONG} {LONG} {LONG}"] * 2])
+
+
+# ---- 6: links
+
+
+def plain_links(texts, k, percent):
+    """(id, least id of the rows with the same set, number of other rows that link to it) of each row."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t, _ in texts:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]))
+    out = []
+    for a, (i, _, _) in enumerate(texts):
+        same = [texts[b][0] for b in range(len(texts)) if sets[b] == sets[a]] if sets[a] else [i]
+        n = sum(bool(sets[a]) and a != b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) for b in range(len(texts)))
+        out.append((i, min((x for x in same if x is not None), default=None), n))
+    return out
+
+
+def group_of_near_copies():
+    """60 edits of one text, some of them twice, others with the same words in capitals, and looser relatives."""
+    rng = np.random.default_rng(3)
+    base = prose(9, 300).split()
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.integers(0, len(w), rng.integers(0, 9)):
+            w[j] = f"e{i}x{j}"
+        texts.append((100 + i, " ".join(w), "s"))
+    texts += [(300 + i, texts[3 * i][1], "s") for i in range(5)] + [(400 + i, texts[7 * i][1].upper(), "s") for i in range(5)]
+    return texts + [(i, prose(200 + i, 60) + " " + " ".join(base[:20]), "s") for i in range(20)] + [(None, " ".join(base), "s"), (500, "", "s"), (501, None, "s")]
+
+
+@pytest.mark.parametrize("small,block", [(2, 8), (16, 256), (1000, 8)])
+def test_links_of_a_large_group(spark, monkeypatch, small, block):
+    from scanweave.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = group_of_near_copies()
+    full = jaccard.near_components(rows(spark, texts), links=True)
+    got = full.select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == Counter(plain_links(texts, 4, 85))
+    assert max(r["n_links"] for r in got) > 20
+    cols = ["doc_id", "n_shingles", "component_id", "first"]
+    assert Counter(map(tuple, full.select(cols).collect())) == Counter(map(tuple, jaccard.near_components(rows(spark, texts)).select(cols).collect()))
+
+
+def test_links_of_odd_rows(spark):
+    from scanweave.llm import jaccard
+
+    from .test_operators import TEXTS
+
+    got = jaccard.near_components(rows(spark, TEXTS), k=1, percent=50, links=True).select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == Counter(plain_links(TEXTS, 1, 50))
+    assert jaccard.near_components(rows(spark, []), links=True).count() == 0
