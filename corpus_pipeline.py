@@ -16,12 +16,12 @@ from scanweave.llm.exact import drop_copies
 from scanweave.llm.jaccard import drop_near_copies
 from scanweave.llm.mixing import emit_copies, mix
 from scanweave.llm.packing import default_tokenizer, pack
-from scanweave.llm.quality_rules import drop_rejected
+from scanweave.llm.quality_rules import STAGE_RULES, drop_rejected
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
-    return drop_rejected(docs)
+    """Documents that pass every rule, repeated lines by their share of the text."""
+    return drop_rejected(docs, rules=STAGE_RULES)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,10 +73,10 @@ class Page:
         return self._sum(LETTER[self.words.buf])
 
     @cached_property
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """(n_lines with a word, those equal to an earlier one)."""
+    def _every_line(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, bytes, equal to an earlier one of the document) of each line with a word."""
         w = self.words
-        n_docs, n = len(w.counts), len(w.buf)
+        n = len(w.buf)
         breaks = np.flatnonzero(w.buf == 10)
         lo = np.unique(np.concatenate([w.doc_bytes[:-1][np.diff(w.doc_bytes) > 0], breaks[breaks + 1 < n] + 1]))
         doc = np.searchsorted(w.doc_bytes, lo, "right") - 1
@@ -87,8 +87,21 @@ class Page:
         sums = running(w.buf.astype(U) + U(1), BYTE_BASE)
         key = mix(mix(spans(sums, lo, hi, BYTE_BASE) + (hi - lo).astype(U)) + doc.astype(U))
         _, first = np.unique(key, return_index=True)
-        every = np.bincount(doc, minlength=n_docs)
-        return every, every - np.bincount(doc[first], minlength=n_docs)
+        again = np.ones(len(doc), bool)
+        again[first] = False
+        return doc, hi - lo, again
+
+    @cached_property
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """(n_lines with a word, those equal to an earlier one)."""
+        doc, _, again = self._every_line
+        return tuple(np.bincount(d, minlength=len(self.words.counts)) for d in (doc, doc[again]))
+
+    @cached_property
+    def line_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same in bytes."""
+        doc, size, again = self._every_line
+        return tuple(np.bincount(d, x, len(self.words.counts)).astype(np.int64) for d, x in ((doc, size), (doc[again], size[again])))
 
     @cached_property
     def n_repeat_words(self) -> np.ndarray:
@@ -133,6 +146,9 @@ MORE_RULES = (
     Rule("long_words", lambda p: p.word_chars > 20 * p.n_words),
 )
 RULES = BASE_RULES + MORE_RULES
+#: The rules of the corpus pipeline: repeated lines are judged by their share of the text, so that a short line that comes
+#: twice in a text of few lines is no reason. The query keeps the share of lines that its SQL has.
+STAGE_RULES = tuple(Rule("repeated_text", lambda p: 100 * p.line_bytes[1] > 30 * p.line_bytes[0]) if r.name == "repeated_lines" else r for r in RULES)
 
 
 def _trial(rules: tuple[Rule, ...]):

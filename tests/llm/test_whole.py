@@ -100,3 +100,13 @@ def test_links_of_odd_rows(spark):
     got = jaccard.near_components(rows(spark, TEXTS), k=1, percent=50, links=True).select("doc_id", "class_id", "n_links").collect()
     assert Counter(map(tuple, got)) == Counter(plain_links(TEXTS, 1, 50))
     assert jaccard.near_components(rows(spark, []), links=True).count() == 0
+
+
+# ---- pipeline: clean texts with a short line twice
+
+
+def test_pipeline_keeps_a_text_with_a_short_line_twice(spark):
+    import corpus_pipeline
+
+    texts = [(1, f"Yes.\n{prose(5, 80)}\nYes.", "s"), (2, (prose(6, 60) + "\n") * 2 + prose(7, 60), "s"), (3, prose(8, 80), "s")]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.quality_rules(spark, rows(spark, texts), "").collect()) == [1, 3]
