@@ -2,7 +2,8 @@
 
 A byte-level BPE never merges across a single space between two other characters: the space opens the next
 piece. So texts are cut there with Arrow, distinct cuts are encoded once per worker, and ids are gathered.
-Texts with a cut that is empty or has white space at its edge are encoded whole.
+Texts with a cut that is empty or has white space at its edge are encoded whole, those that hold an added token of the
+file by the library itself.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts; the same as of the tokenizers library with add_special_tokens=False and special strings as text."""
+    """Ids of texts; the same as of the tokenizers library with add_special_tokens=False."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -44,6 +45,7 @@ class Encoder:
         special = {t["content"] for t in spec.get("added_tokens", ())}
         code = byte_symbols()
         ranks = {bytes(code[c] for c in tok): i for tok, i in spec["model"]["vocab"].items() if tok not in special}
+        self.library, self.added = Tokenizer.from_file(path), sorted({t["content"] for t in spec.get("added_tokens", ())})
         self.fast = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         probe = "The 12 cats' naïve — «été»\n\n\t x<|endoftext|>  $%&*** 日本語  end \n"
         if self.fast.encode_ordinary(probe) != own.encode(probe, add_special_tokens=False).ids:
@@ -107,10 +109,15 @@ class Encoder:
         taken = store.take(pa.array(word))
         flat, stops = taken.values.to_numpy(), taken.offsets.to_numpy()
         bad = np.concatenate([[0], np.cumsum(flagged)])
+        held = np.zeros(len(texts), bool)
+        for t in self.added:
+            held |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
         out = []
         for k in range(len(texts)):
             a, b = ends[k], ends[k + 1]
-            if bad[b] > bad[a]:
+            if held[k]:
+                out.append(np.array(self.library.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32))
+            elif bad[b] > bad[a]:
                 out.append(np.array(self.fast.encode_ordinary(texts[k].as_py()), np.uint32))
             else:  # the first cut has no space before it
                 first = self.fast.encode_ordinary(cuts.dictionary[cuts.indices[int(a)].as_py()].as_py())

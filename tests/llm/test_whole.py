@@ -110,3 +110,19 @@ def test_pipeline_keeps_a_text_with_a_short_line_twice(spark):
 
     texts = [(1, f"Yes.\n{prose(5, 80)}\nYes.", "s"), (2, (prose(6, 60) + "\n") * 2 + prose(7, 60), "s"), (3, prose(8, 80), "s")]
     assert sorted(r["doc_id"] for r in corpus_pipeline.quality_rules(spark, rows(spark, texts), "").collect()) == [1, 3]
+
+
+# ---- 9: added tokens in texts
+
+
+def test_added_tokens_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    from scanweave.llm import packing
+    from scanweave.llm.tokens import encoder
+
+    path = packing.default_tokenizer()
+    texts = ["plain words here", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|><|endoftext|>  \n y", None, "<|endoftext"]
+    library = Tokenizer.from_file(path)
+    got = [ids.tolist() for ids in encoder(path).encode(pa.array(texts))]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts] and 50256 in got[1]
