@@ -86,7 +86,7 @@ def ground_zones(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Concentric-zone ground likelihood, from the published description of the method: reflected noise goes, each patch
     takes low points as seeds, vertical planes among them are set aside, a plane is fitted over a few rounds, and the
     patch is ground if the plane is upright and neither high nor rough for its zone. Every frame starts from the same
-    thresholds: those that earlier frames would adapt are in streaming.ground."""
+    thresholds; adapting them over frames is not built, nor is the temporal revert (Config.pw_enable_TGR has no effect)."""
     height = abs(cfg.sensor_z)
 
     def kernel(f: Frame) -> Frame:
