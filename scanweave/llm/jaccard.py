@@ -10,8 +10,8 @@ whose prefix holds frequent shingles, and so would have many candidates, takes a
 
 Pairs inside a large group of near copies are not made as rows. Classes that share prefix shingles with the same pivot
 are put in one group, which is only a way to divide the work. Inside a large group all classes are compared with one, its
-head, that is close to most, and go on as their differences from it: two intersections with the head, and that of the
-differences, give the intersection of two sets. Where links are counted, all pairs of the group then meet in blocks of
+head, that is close to most. Where links are counted, they go on as their differences from it (two intersections with the
+head, and that of the differences, give the intersection of two sets), and all pairs of the group then meet in blocks of
 bounded size, each block a product of bit matrices, and each class sums the rows of those it links to; where only components are
 asked for, the classes that do not link to the head meet the whole group. All other pairs come from the prefixes, and are
 compared if the shingles they share there, and all that lie behind the prefixes, would be enough. Nothing is capped: with
@@ -41,6 +41,8 @@ COUNTERS = 1 << 18
 #: Matches asked for, and what a comparison costs per shingle against reading a posting.
 MATCHES, VERIFY = (1, 2, 3, 4, 6, 8, 12, 16), 1 / 8
 BLOCK = 1024
+#: Where only components are asked for, whole sets meet, in blocks of at most this many.
+WHOLE_BLOCK = 256
 #: Groups of more classes than this are compared in blocks.
 SMALL_GROUP = 16
 NO_ID = (1 << 63) - 1
@@ -247,12 +249,18 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     inside = whole.join(groups, "node").join(heads, "grp")
     star = inside.select("grp", "head", "node", F.col("shingles").alias("x")).join(whole.select(F.col("node").alias("head"), F.col("shingles").alias("y")), "head")
     both = (F.size("x").cast("long").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("met"), F.size("y").cast("long").alias("h"))
-    core = written(star.select("grp", "node", "head", ((F.col("node") == F.col("head")) | _linked(percent)).alias("core"), *both, F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("diff")))
+    differ = (*both, F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("diff")) if links else ()
+    core = written(star.select("grp", "node", "head", ((F.col("node") == F.col("head")) | _linked(percent)).alias("core"), *differ))
+    block = BLOCK if links else min(BLOCK, WHOLE_BLOCK)
     # blocks: the classes that are still open, or all of them if links are counted, against all classes of their group
     still = F.lit(True) if links else ~F.col("core")
-    sizes = core.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(still) / BLOCK).cast("int").alias("open_blocks")).filter("open_blocks > 0")
+    sizes = core.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.count_if(still) / block).cast("int").alias("open_blocks")).filter("open_blocks > 0")
     weights = classes.select("node", "rows")
-    ready = core.join(sizes, "grp").join(weights, "node")
+    if links:
+        ready = core.join(sizes, "grp").join(weights, "node")
+    else:  # a whole set is its difference from the empty one
+        zero = F.lit(0).cast("long")
+        ready = whole.join(core.join(sizes, "grp"), "node").withColumns({"n": F.size("shingles").cast("long"), "met": zero, "h": zero, "rows": zero}).withColumnRenamed("shingles", "diff")
     mod = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     kept = ("grp", "node", "core", "n", "met", "h", "rows", "diff")
     # with links the same classes are on both sides, and a pair of blocks meets once
