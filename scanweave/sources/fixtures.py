@@ -1,6 +1,8 @@
 """Sweeps, inertial samples, poses and latency logs projected from the driver's tables.
 
-The texts run unchanged in Spark and in DuckDB, so queries and their SQL twins start from the same rows.
+The texts run unchanged in Spark and in DuckDB, so queries and their SQL twins start from the same rows: coordinates are
+multiples of 2^-20 m, so that the last bit of a sine changes none, sums are exact and zero has no sign, and ground points
+lie 3 mm off the edges of the bins.
 """
 
 from __future__ import annotations
@@ -8,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _POINTS = """
-select frame_id, point_idx, cast(q as int) % 40 as ring, o,
+select frame_id, point_idx, ring, o, cast(floor(x * 1048576e0 + 0.5e0) as bigint) / 1048576e0 as x, cast(floor(y * 1048576e0 + 0.5e0) as bigint) / 1048576e0 as y,
+ cast(floor(z * 1048576e0 + 0.5e0) as bigint) / 1048576e0 as z, intensity
+from (select frame_id, point_idx, cast(q as int) % 40 as ring, o,
  case when o >= 16 then gr * cos(ga) when kind = 2 then cr * cos(ca) + 0.03e0 * cos(az)
       when kind = 1 then cr * cos(ca) + 0.40e0 * (q / 50e0 - 0.5e0) else cr * cos(ca) + 0.114e0 * (1e0 - 0.8e0 * d) * cos(az) end as x,
  case when o >= 16 then gr * sin(ga) when kind = 2 then cr * sin(ca) + 0.03e0 * sin(az)
@@ -16,14 +20,14 @@ select frame_id, point_idx, cast(q as int) % 40 as ring, o,
  case when o >= 16 then -0.52e0 + 0.1e0 * t when kind = 2 then -0.50e0 + 0.70e0 * d else -0.50e0 + 0.325e0 * d end as z,
  case when o = 12 then 2e0 else 20e0 + 500e0 * t end as intensity
 from (
- select *, o % 4 as kind, 2e0 + o * 1.2e0 as cr, 6.283185307179586e0 * o / 16e0 as ca, 6.283185307179586e0 * q / 50e0 as az, {near} as gr,
+ select *, o % 4 as kind, 2e0 + o * 1.2e0 as cr, 6.283185307179586e0 * o / 16e0 as ca, 6.283185307179586e0 * q / 50e0 as az, {near} + 0.003e0 as gr,
   ((p * 7919e0) % 6283e0) / 1000e0 as ga
  from (
   select cast(floor(l_orderkey / 250) as bigint) as frame_id,
    row_number() over (partition by cast(floor(l_orderkey / 250) as bigint)
      order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) - 1 as point_idx,
    cast(l_partkey % 25 as int) as o, l_quantity as q, l_extendedprice as p, l_discount * 10e0 as d, l_tax as t
-  from lineitem) b) c
+  from lineitem) b) c) m
 """
 POINTS = "select frame_id, cast(point_idx as bigint) as point_idx, ring, x, y, z, intensity, 1.7e9 + frame_id * 0.1e0 + (atan2(y, x) + pi()) / (2e0 * pi()) * 0.1e0 as timestamp from (" + _POINTS.format(near="1e0 + ((p * 100e0) % 2400e0) / 100e0") + ") f"
 #: The same with ranges from 0 to 27 m, which reach the blind spot and pass the largest range.
