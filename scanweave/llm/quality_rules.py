@@ -1,19 +1,22 @@
 """Quality rules as a short-circuit cascade (operator 5).
 
 Each rule's cost and rejection rate are estimated on a sample of the documents; rules then run in order of rejection
-per cost, and a rule sees only what the earlier ones left. The verdict is the conjunction of all rules, so it does not
-depend on the order, and an estimate that is off costs time only.
+per cost, and a rule sees only what the earlier ones left. A cost is the number of array elements that the rule's counts
+go over, so that reruns order the rules alike. The verdict is the conjunction of all rules, so it does not depend on
+the order, and an estimate that is off costs time only. A text is cut into words once: what is left after a rejection
+is moved together, with the counts that are there already.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; lines are split at \\n; a line counts if it has a word.
 Repeats are found by 64-bit hashes within one document.
 
-Edge cases: a null or empty text has no words and is rejected for its length; repeated rows are judged each on their
-own; a null identifier passes through; an empty table gives no rows; `drop_rejected` keeps all columns.
+Edge cases: a null or empty text has no words and is rejected for its length; texts are read whole, however long;
+repeated rows are judged each on their own; a null identifier passes through; an empty table gives no rows;
+`drop_rejected` keeps all columns, whatever their names; a result of `judge` whose name a key has gets an underscore
+behind it.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import beside_keys, table
 from .words import BYTE_BASE, WORD_BASE, U, Words, mix, running, slices, spans
 
 SYMBOL = np.zeros(256, bool)
@@ -32,19 +35,23 @@ UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
-#: Part of the documents that estimates are made on, by a seeded sample of all of them.
-SAMPLE = 0.01
+#: Part of the documents that estimates are made on, by a seeded sample of all of them, and their least number.
+SAMPLE, SAMPLE_ROWS = 0.01, 2000
 
 
 class Page:
     """Counts per document of a batch of texts, each made when first asked for."""
 
-    def __init__(self, texts: pa.Array):
-        self.texts = texts
+    def __init__(self, words: Words):
+        self.words = words
 
-    @cached_property
-    def words(self) -> Words:
-        return Words(self.texts)
+    def only(self, keep: np.ndarray) -> Page:
+        """The documents marked in `keep`, with the counts made so far."""
+        out = Page(self.words.only(keep))
+        for name in PER_DOCUMENT & self.__dict__.keys():
+            got = self.__dict__[name]
+            out.__dict__[name] = tuple(x[keep] for x in got) if isinstance(got, tuple) else got[keep]
+        return out
 
     def _sum(self, flags: np.ndarray) -> np.ndarray:
         run = np.concatenate([[0], np.cumsum(flags)])
@@ -124,101 +131,96 @@ class Page:
         return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=len(w.counts))
 
 
+PER_DOCUMENT = {"n_words", "word_chars", "n_symbols", "n_upper", "n_letters", "lines", "line_bytes", "n_repeat_words"}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a document where `rejects` of a Page holds."""
+    """Rejects a document where `rejects` of a Page holds. The cost is that of its counts, a byte and a word of text."""
 
     name: str
     rejects: Callable[[Page], np.ndarray]
+    byte_cost: int = 0
+    word_cost: int = 0
 
 
 #: The two rules every document must pass.
 BASE_RULES = (
     Rule("few_words", lambda p: p.n_words < 50),
-    Rule("repeated_windows", lambda p: 100 * p.n_repeat_words > 50 * p.n_words),
+    Rule("repeated_windows", lambda p: 100 * p.n_repeat_words > 50 * p.n_words, 2, 30),
 )
-#: Further rules; prose in any language passes them.
+#: Further rules, for languages that set spaces between words.
 MORE_RULES = (
-    Rule("symbols", lambda p: 4 * p.n_symbols > p.n_words),
-    Rule("capitals", lambda p: 2 * p.n_upper > p.n_letters),
-    Rule("repeated_lines", lambda p: 100 * p.lines[1] > 30 * p.lines[0]),
-    Rule("short_words", lambda p: p.word_chars < 2 * p.n_words),
-    Rule("long_words", lambda p: p.word_chars > 20 * p.n_words),
+    Rule("symbols", lambda p: 4 * p.n_symbols > p.n_words, 2),
+    Rule("capitals", lambda p: 2 * p.n_upper > p.n_letters, 4),
+    Rule("repeated_lines", lambda p: 100 * p.lines[1] > 30 * p.lines[0], 3, 1),
+    Rule("short_words", lambda p: p.word_chars < 2 * p.n_words, 2, 3),
+    Rule("long_words", lambda p: p.word_chars > 20 * p.n_words, 2, 3),
 )
 RULES = BASE_RULES + MORE_RULES
 #: The rules of the corpus pipeline: repeated lines are judged by their share of the text, so that a short line that comes
 #: twice in a text of few lines is no reason. The query keeps the share of lines that its SQL has.
-STAGE_RULES = tuple(Rule("repeated_text", lambda p: 100 * p.line_bytes[1] > 30 * p.line_bytes[0]) if r.name == "repeated_lines" else r for r in RULES)
+STAGE_RULES = tuple(Rule("repeated_text", lambda p: 100 * p.line_bytes[1] > 30 * p.line_bytes[0], 3, 1) if r.name == "repeated_lines" else r for r in RULES)
 
 
 def _trial(rules: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in slices(batches, "text"):
-            cost, hits = [], []
-            for r in rules:  # each on counts of its own
-                began = time.perf_counter()
-                hits.append(int(r.rejects(Page(cut.column("text"))).sum()))
-                cost.append(time.perf_counter() - began)
-            n = len(rules)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(cost), pa.array(hits, pa.int64()), pa.array([cut.num_rows] * n, pa.int64())], ["rule", "cost", "hits", "seen"])
+            page = Page(Words(cut.column("text")))
+            cost = [r.byte_cost * len(page.words.buf) + r.word_cost * len(page.words) + cut.num_rows for r in rules]
+            hits = [int(r.rejects(page).sum()) for r in rules]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(cost, pa.int64()), pa.array(hits, pa.int64())], ["rule", "cost", "hits"])
 
     return run
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample: float = SAMPLE) -> tuple[Rule, ...]:
-    """The rules by estimated rejections per second, best first; as given where the sample is empty. The driver gets
-    one row per rule."""
-    trial = docs.select(F.col(text).alias("text")).sample(sample, seed=11).mapInArrow(_trial(rules), "rule int, cost double, hits long, seen long")
-    stats = {r["rule"]: (r["hits"], r["cost"]) for r in trial.groupBy("rule").agg(F.sum("hits").alias("hits"), F.sum("cost").alias("cost")).collect()}
-    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: -stats[k][0] / max(stats[k][1], 1e-9) if k in stats else 0))
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample: float = SAMPLE, least: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    """The rules by estimated rejections per cost, best first, of equal ones in the order given; as given where the
+    sample is empty. The sample is a part of all documents, `least` at least. The driver gets one row per rule."""
+    share = min(1.0, max(sample, least / max(docs.count(), 1)))
+    trial = docs.select(F.col(text).alias("text")).sample(share, seed=11).mapInArrow(_trial(rules), "rule int, cost long, hits long")
+    stats = {r["rule"]: r["hits"] / r["cost"] for r in trial.groupBy("rule").agg(F.sum("hits").alias("hits"), F.sum("cost").alias("cost")).collect()}
+    return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-stats.get(k, 0.0), k)))
+
+
+def cascade_verdicts(page: Page, cascade: tuple[Rule, ...]) -> np.ndarray:
+    """Per document the place in the cascade of the rule that rejects it, or -1. A rule is asked about what is left."""
+    verdict, alive = np.full(len(page.words.counts), -1), np.arange(len(page.words.counts))
+    for k, r in enumerate(cascade):
+        bad = r.rejects(page)
+        if bad.any():
+            verdict[alive[bad]] = k
+            page, alive = page.only(~bad), alive[~bad]
+        if not len(alive):
+            break
+    return verdict
 
 
 def _judge(cascade: tuple[Rule, ...], counts: bool):
+    names = np.array([*(r.name for r in cascade), None], object)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in slices(batches, "text"):
-            texts = cut.column("text")
-            page, alive, reason = Page(texts), np.arange(len(texts)), np.full(len(texts), None, object)
-            all_page = page
-            for r in cascade:
-                bad = r.rejects(page)
-                if bad.any():
-                    reason[alive[bad]] = r.name
-                    alive = alive[~bad]
-                    # counts are made anew for the rest only where that is less work
-                    page = Page(texts.take(pa.array(alive))) if not counts else _Part(all_page, alive)
-                if not len(alive):
-                    break
-            cols = [c for n, c in zip(cut.schema.names, cut.columns, strict=True) if n != "text"] + [pa.array(reason, pa.string())]
-            if counts:
-                p = all_page
-                failed = np.zeros(len(texts), bool)
+            p = Page(Words(cut.column("text")))
+            more: list[pa.Array] = []
+            if counts:  # asked for of all documents; what else the rules need is counted as they go
+                failed = np.zeros(cut.num_rows, bool)
                 for r in BASE_RULES:
                     failed |= r.rejects(p)
-                cols += [pa.array(np.asarray(x, np.int64)) for x in (p.n_words, p.word_chars, p.n_symbols, p.lines[1], p.n_repeat_words)] + [pa.array(failed)]
-            yield pa.RecordBatch.from_arrays(cols, [n for n in cut.schema.names if n != "text"] + ["rejected_by"] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"] * counts)
+                more = [pa.array(np.asarray(x, np.int64)) for x in (p.n_words, p.word_chars, p.n_symbols, p.lines[1], p.n_repeat_words)] + [pa.array(failed)]
+            reason = pa.array(names[cascade_verdicts(p, cascade)], pa.string())
+            yield pa.RecordBatch.from_arrays([cut.column("keys"), reason, *more], ["keys", "rejected_by"] + ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"] * counts)
 
     return run
 
 
-class _Part:
-    """Rows of a Page whose counts are wanted in any case."""
-
-    def __init__(self, page: Page, rows: np.ndarray):
-        self._page, self._rows = page, rows
-
-    def __getattr__(self, name: str):
-        got = getattr(self._page, name)
-        return tuple(x[self._rows] for x in got) if isinstance(got, tuple) else got[self._rows]
-
-
 def judge(docs: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] = RULES, counts: bool = False) -> DataFrame:
     """keys of each document and rejected_by: the rule that rejected it in the cascade's order, null if kept; with
     `counts`, also the counts and base_failed."""
     cascade = plan_cascade(docs, rules, text)
-    rows = docs.select(*keys, F.col(text).alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    rows = docs.select(F.struct(*keys).alias("keys"), F.col(text).alias("text"))
     more = ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean" if counts else ""
-    return rows.mapInArrow(_judge(cascade, counts), f"{kinds}, rejected_by string{more}")
+    return beside_keys(rows, keys, _judge(cascade, counts), f"rejected_by string{more}")
 
 
 def drop_rejected(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -227,13 +229,7 @@ def drop_rejected(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in slices(batches, text):
-            texts, alive = cut.column(text), np.arange(cut.num_rows)
-            for r in cascade:
-                bad = r.rejects(Page(texts.take(pa.array(alive))))
-                alive = alive[~bad]
-                if not len(alive):
-                    break
-            yield cut.take(pa.array(alive))
+            yield cut.filter(pa.array(cascade_verdicts(Page(Words(cut.column(text))), cascade) < 0))
 
     return docs.mapInArrow(run, docs.schema)
 

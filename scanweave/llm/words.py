@@ -96,6 +96,18 @@ class Words:
         self.first = np.searchsorted(self.start, self.doc_bytes)
         self.counts = np.diff(self.first)
 
+    def only(self, keep: np.ndarray) -> Words:
+        """The words of the documents marked in `keep`; their bytes are moved together, nothing is read again."""
+        out, sizes = object.__new__(Words), np.diff(self.doc_bytes)
+        out.buf = self.buf[np.repeat(keep, sizes)]
+        out.doc_bytes = np.concatenate([[0], np.cumsum(sizes[keep])])
+        out.counts = self.counts[keep]
+        out.first = np.concatenate([[0], np.cumsum(out.counts)])
+        moved = np.repeat(self.doc_bytes[:-1][keep] - out.doc_bytes[:-1], out.counts)
+        own = np.repeat(keep, self.counts)
+        out.start, out.end = self.start[own] - moved, self.end[own] - moved
+        return out
+
     def __len__(self) -> int:
         return len(self.start)
 
