@@ -1,10 +1,14 @@
 """URL filters (operator 7): host and path rules, and behind them a logistic regression on hashed character n-grams.
 
-The model is fitted in numpy on the small labelled table below, once per call, from fixed starts, so calls agree. Host
-and path n-grams are hashed apart; a host is scored as a whole with its ends marked.
+The labelled urls are made by a rule from short lists of words by subject: one word or two of a subject as the host,
+under the same prefixes, endings and paths for both labels, so that only words tell them apart; and paths of one word
+to block on hosts to allow. The model is fitted on them in numpy, once per call, from fixed starts, so calls agree. Host
+and path n-grams are hashed apart; a host is scored as a whole with its ends marked. It knows what its words look like
+and no more: hosts to block from a subject that no list has are mostly allowed.
 
 Edge cases: a null url, or one without `://`, has an empty host and path, fits no rule and has no features: the
-intercept decides (allow); an empty table gives no rows; repeated rows are judged alike; long urls are scored whole.
+intercept decides (allow); an empty table gives no rows; repeated rows are judged alike; long urls are scored whole;
+other columns are ignored, and a result whose name a key has gets an underscore behind it.
 """
 
 from __future__ import annotations
@@ -17,38 +21,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import beside_keys, table
 from .words import U, mix, running, slices, spans
 
-# The labelled url table, hosts and paths without scheme.
+# Words of urls to block and to allow, a subject a line.
 BLOCKED = """
-free-bets.example/ best-bets.example/en/1 online-casino.example/slots casino-bonus.example/ poker-room.example/play
-bet365-odds.example/ sports-betting.example/en/12 jackpot-slots.example/spin lottery-winner.example/claim roulette.example/
-adult-x.example/ adult-video.example/en/5 xxx-tube.example/watch xxx.example/ sex-cams.example/live porn-hub.example/ hot-girls.example/nude
-escort-service.example/ nude-pics.example/gallery cheap-pills.example/buy viagra-online.example/order pharmacy-rx.example/cialis
-cheap-meds.example/ weight-loss-pills.example/ payday-loans.example/apply fast-cash.example/loan credit-repair.example/offer
-free-iphone.example/win win-prizes.example/claim click-here.example/ad ad-server.example/click tracker.example/ads/banner
-warez-download.example/crack cracked-software.example/keygen torrent-bay.example/ free-movies.example/stream replica-watches.example/
-cheap-followers.example/buy make-money-fast.example/ bitcoin-doubler.example/ crypto-giveaway.example/ news.example/adult/xxx blog.example/casino/bets
-www.free-bets.example/en/3 m.cheap-pills.example/fr/21 blog.cheap-pills.example/en/8.html m.adult-x.example/es/5/ www.casino-slots.example/de/77
-m.ads-track.example/en/14/ ads-track.example/de/3 blog.ad-click.example/es/9 m.tracking-ads.example/fr/1 www.win-cash.example/en/40
-spam-links.example/ www.spam-farm.example/en/2 blog.casino-win.example/en/4.html www.casino-win.example/fr/6 link-farm.example/es/31 m.free-bets.example/en/16/
-www.adult-x.example/fr/7.html blog.spam-farm.example/de/90/ cheap-pills.example/es/5
-""".split()
+casino poker roulette blackjack jackpot slots betting bets bookmaker gambling lottery wager
+adult porn xxx sex nude escort webcam fetish erotic hentai
+pills viagra cialis pharmacy meds tramadol steroids slimming
+loans payday cash credit lender debt refinance
+ads adserver banner popunder tracker tracking click affiliate impression
+spam linkfarm backlinks followers bulkmail doorway scraper
+warez crack keygen torrent serial nulled pirate
+giveaway winner prize doubler replica scam phishing clickbait
+"""
 ALLOWED = """
-www.daily-news.example/en/2024/01/city blog.garden.example/en/123 m.weather.example/en/25.html docs.library.example/guide/intro
-university.example/research/paper museum.example/exhibitions/42 www.cooking.example/recipes/soup.html en.encyclopedia.example/wiki/river
-history.example/articles/771 blog.travel.example/fr/33 m.sports-club.example/de/12 city-council.example/meetings school.example/timetable
-science.example/physics/quantum.html forum.linux.example/thread/991 www.hospital.example/departments/heart support.printer.example/manual
-shop.books.example/item/55 maps.example/route music-school.example/lessons blog.photo.example/es/7 www.theatre.example/programme
-m.train.example/en/2119 health.example/nutrition law.example/statutes/12 www.bank.example/branches environment.example/rivers/7
-code.example/project/readme astronomy.example/planets/mars the-times.example/opinion/3 local-history.example/en/17/ railway.example/en/3/
-thorn.example/en/18 heron.example/en/7.html tion.example/de/4/ thistle.example/fr/9 stone.example/en/61 ether.example/es/2
-gazette.example/obituaries www.athletics.example/results kindergarten.example/news orchestra.example/tickets
-blog.river.example/en/29935.html m.heather.example/es/14868/ www.thornton.example/en/11999 m.feather.example/fr/43356/ weather.example/fr/25930
-nothing.example/en/12938 m.mother.example/fr/35610/ blog.station.example/de/812 www.nation.example/fr/9.html m.other.example/en/27126 /
-.example/ brother.example/en/8 www.hearth.example/es/3/ m.theory.example/en/45348/ blog.method.example/en/26281
-""".split()
+news journal gazette herald tribune chronicle magazine report times
+school college university academy library campus lecture student
+museum gallery orchestra opera cinema festival poetry novel
+garden kitchen recipe baking wine coffee farm market
+hospital clinic nursing dental surgery wellness nutrition
+city council parliament ministry embassy court police
+football tennis cycling rowing hockey marathon stadium
+physics biology chemistry astronomy geology math climate
+software linux python database compiler forum support manual
+travel hotel railway airport harbour island mountain river
+bank insurance accounting audit law notary
+bird horse fish forest flower insect whale
+shop books shoes furniture camera bicycle tools
+blog diary photo craft knitting music radio guitar
+bridge tower castle village station theatre weather mother
+"""
+#: What hosts and paths of both labels have around the words.
+PREFIXES, ENDINGS = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net")
+PATHS = ("/", "/index.html", "/item/17", "/2024/05/post.html", "/a/b/", "/page/3", "/about")
 
 FEATURES, SIZES = 1 << 14, (3, 4, 5)
 BASE = {3: 0x9E3779B97F4A7C15, 4: 0xC2B2AE3D27D4EB4F, 5: 0xD1342543DE82EF95}
@@ -89,19 +95,32 @@ class UrlModel:
         return 1 / (1 + np.exp(-(np.bincount(row, v * self.weights[f], len(hosts)) + self.intercept)))
 
 
-def train(blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED, rounds: int = 600, rate: float = 4.0, penalty: float = 5e-4, prior: float = 0.25) -> UrlModel:
-    """Full-batch gradient descent with an L2 penalty. The placeholder last label of the hosts is left out.
-    The intercept is that of a prior share of urls to block: the table's own share says nothing of the web's."""
-    urls = [*blocked, *allowed]
-    host = [u.partition("/")[0].removesuffix(".example") for u in urls]
-    path = ["/" + u.partition("/")[2] for u in urls]
-    row, f, v = url_features(pa.array(host), pa.array(path))
-    y = np.array([1.0] * len(blocked) + [0.0] * len(allowed))
+def labelled(words: str) -> list[tuple[str, str]]:
+    """(host, path) of urls made of words, a subject a line: each word alone, and joined to the next three of its subject
+    with a hyphen or without."""
+    names = []
+    for line in words.strip().splitlines():
+        w = line.split()
+        for k, a in enumerate(w):
+            names += [a, *(a + "-" * (j % 2) + w[(k + j) % len(w)] for j in (1, 2, 3))]
+    # steps without a common factor, so that every name meets different surroundings
+    return [(PREFIXES[k % 4] + n + "." + ENDINGS[k % 3], PATHS[k % 7]) for k, n in enumerate(names)]
+
+
+def train(blocked: str = BLOCKED, allowed: str = ALLOWED, rounds: int = 400, rate: float = 8.0, penalty: float = 2e-4, prior: float = 0.3) -> UrlModel:
+    """Full-batch gradient descent with an L2 penalty. The labels weigh as a prior share of urls to block has it, the
+    table's own share says nothing of the web's; the intercept is that of the prior, so a url of unknown words is allowed."""
+    yes, no = labelled(blocked), labelled(allowed)
+    bad, good = blocked.split(), allowed.split()
+    yes += [(no[7 * k % len(no)][0], f"/{w}/{good[5 * k % len(good)]}") for k, w in enumerate(bad)]
+    no += [(no[11 * k % len(no)][0], f"/{a}/{good[3 * k % len(good)]}") for k, a in enumerate(good)]
+    row, f, v = url_features(*(pa.array([u[k] for u in (*yes, *no)]) for k in (0, 1)))
+    y = np.array([1.0] * len(yes) + [0.0] * len(no))
+    share = np.where(y > 0, prior / len(yes), (1 - prior) / len(no))
     w, b = np.zeros(FEATURES), float(np.log(prior / (1 - prior)))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-(np.bincount(row, v * w[f], len(y)) + b)))
-        g = (p - y) / len(y)
-        w -= rate * (np.bincount(f, v * g[row], FEATURES) + penalty * w)
+        w -= rate * (np.bincount(f, v * ((p - y) * share)[row], FEATURES) + penalty * w)
     return UrlModel(w, b)
 
 
@@ -124,16 +143,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge_urls(pages: DataFrame, keys: list[str], url: str = "url", rules: tuple = RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
-    """keys, host, path, rule (host and path prefix of the longest that fits, else null), score, verdict. The score is
-    made for the urls that no rule decides only; it is null for the others."""
-    model = model or train()
+def with_rules(pages: DataFrame, keys: list[str], url: str = "url", rules: tuple = RULES) -> DataFrame:
+    """`keys` (a struct), host, path, rule (host and path prefix of the longest that fits, else null), verdict (its own)."""
     host, path = F.col("host"), F.col("path")
     rule = verdict = F.lit(None).cast("string")
     for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):  # later ones, being longer, win
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
-    rows = pages.select(*keys, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).select("*", rule.alias("rule"), verdict.alias("verdict"))
+    rows = pages.select(F.struct(*keys).alias("keys"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    return rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def judge_urls(pages: DataFrame, keys: list[str], url: str = "url", rules: tuple = RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
+    """keys, host, path, rule, verdict, score. The score is made for the urls that no rule decides only; it is null for
+    the others."""
+    model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in slices(batches, "path", 1 << 20):
@@ -142,16 +166,32 @@ def judge_urls(pages: DataFrame, keys: list[str], url: str = "url", rules: tuple
             score = np.full(cut.num_rows, np.nan)
             score[open_.to_numpy()] = model.score(cut.column("host").take(open_), cut.column("path").take(open_))
             verdict = pa.array([v or ("block" if s >= threshold else "allow") for v, s in zip(ruled, score, strict=True)], pa.string())
-            cols = [c for n, c in zip(cut.schema.names, cut.columns, strict=True) if n != "verdict"]
-            yield pa.RecordBatch.from_arrays([*cols, verdict, pa.array(score, from_pandas=True)], [n for n in cut.schema.names if n != "verdict"] + ["verdict", "score"])
+            yield pa.RecordBatch.from_arrays([*cut.columns[:-1], verdict, pa.array(score, from_pandas=True)], [*cut.schema.names, "score"])
+
+    return beside_keys(with_rules(pages, keys, url, rules), keys, run, "host string, path string, rule string, verdict string, score double")
+
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, score double")
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 7 that SQL can express: host, path and rule, and the rule's verdict."""
+    return with_rules(table(spark, sf_dir, "pages"), ["page_id"]).select("keys.page_id", "host", "path", "rule", "verdict")
+
+
+RULES_SQL = r"""
+with after as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+part as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from after),
+fit as (select *, case
+    when (host = 'www.example.com' or host like '%.www.example.com') and path like '/en/%' then 'www.example.com/en/'
+    when (host = 'example.com' or host like '%.example.com') and path like '/en/%' then 'example.com/en/'
+    when (host = 'net' or host like '%.net') and path like '/es/%' then 'net/es/'
+    when (host = 'net' or host like '%.net') and path like '/fr/%' then 'net/fr/'
+    when (host = 'com' or host like '%.com') and path like '/%' then 'com/' end as rule from part)
+select page_id, host, path, rule, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end as verdict from fit
+"""
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), ["page_id"])
 
 
-QUERIES = {"op7_url_filter": op7_url_filter}
-ORACLES: dict = {}
+QUERIES = {"op7_url_filter": op7_url_filter, "url_rules": url_rules}
+ORACLES = {"url_rules": RULES_SQL}
