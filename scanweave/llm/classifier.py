@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import beside_keys, table
 from .words import SPACE, U, Words, mix, slices
 
 SLOTS, DIM, NONZERO, REACH = 1 << 14, 48, 4, 2
@@ -218,17 +218,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
 def score(docs: DataFrame, features: np.ndarray, net: Network, keys: list[str], text: str = "text") -> DataFrame:
     """keys and score (0 to 1) of each document's whole text."""
-    rows = docs.select(*keys, F.col(text).alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    rows = docs.select(F.struct(*keys).alias("keys"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in slices(batches, "text"):
             # rounded as in training, so that no sum's order shows
             s = np.round(net.score(pool(cut.column("text"), features).astype(np.float32).astype(np.float64)), 9)
-            cols = [c for n, c in zip(cut.schema.names, cut.columns, strict=True) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s)], [n for n in cut.schema.names if n != "text"] + ["score"])
+            yield pa.RecordBatch.from_arrays([cut.column("keys"), pa.array(s)], ["keys", "score"])
 
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return beside_keys(rows, keys, run, "score double")
 
 
 def held_out(doc_id: int | None) -> bool:

@@ -291,11 +291,11 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """docs with one row of each component, all columns as they are. Of repeated rows one stays."""
     from pyspark.sql import Window
 
-    key = ["__id", "__th"]
-    stay = near_components(docs, text, doc_id, k, percent).filter("first").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_hash").alias("__th"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    one = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-    return keyed.join(stay, key, "left_semi").withColumn("__n", one).filter("__n = 1").drop(*key, "__n")
+    identity = lambda i, th: F.struct(F.coalesce(i.cast("long"), F.lit(NO_ID)).alias("id"), th.alias("th")).alias("key")
+    stay = near_components(docs, text, doc_id, k, percent).filter("first").select(identity(F.col("doc_id"), F.col("text_hash")))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), identity(F.col(doc_id), F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    one = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))
+    return keyed.join(stay, "key", "left_semi").withColumn("n", one).filter("n = 1").select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
