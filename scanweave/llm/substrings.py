@@ -8,14 +8,19 @@ steps that lose none:
 
 1. Every window has an anchor, the smallest Rabin-Karp hash of the half-length windows inside it. Equal windows have
    equal anchors. Neighbouring windows that share one form a stretch, so there are many fewer stretches than windows.
-   Anchors are counted, and only stretches whose anchor is found in documents of different ids go on.
-2. Equal stretches (same anchor and same hash over their words) are taken together with the smallest id that has them.
-   The hash of each window of a stretch is counted under its anchor, as (anchor, window hash): 128 bits of two
-   polynomials. The smallest id of a window goes back to the stretches and so to the documents.
+   Anchors are counted, and the stretches whose anchor is found in documents of different ids go on.
+2. Equal stretches (same anchor and same hash over their words) are one unit with the smallest id that has it. Where an
+   anchor has several units, the hash of each of their windows is counted under it, as (anchor, window hash): 128 bits
+   of two polynomials. The smallest id of a window goes back to the stretches and so to the documents.
+
+What goes on to a step is told by marks (see marks.py): fixed-size bitmaps of the keys that count, read while a scan
+streams by. A mark set by chance lets a row through that changes nothing. So texts that have no part in a step do not
+move, and of the others each moves at most twice. Sums per key are partial before their shuffle, and the two joins
+back from keys to rows take the keys that many rows have by a broadcast that is bounded (base.join_counted).
 
 Edge cases: a null text has no words; texts shorter than a window stay whole; repeats inside one document, or among
 rows of one id, are kept; a null id counts as larger than any other; repeated rows are treated alike; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import durable, table
+from .base import join_counted, table, written
+from .marks import Marks, marks
 from .words import WINDOW_BASE, WORD_BASE, Words, mix, running, signed, slices, sliding_min, spans
 
 WINDOW = 50
@@ -40,7 +46,8 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def _stretches(window: int):
+def _stretches(window: int, only: Marks | None = None):
+    """Anchor and id of every stretch; with `only`, whole stretches, of the anchors marked there."""
     half = window // 2
     longest = window - half + 1  # windows that can share one anchor, where its words do not recur
 
@@ -57,8 +64,13 @@ def _stretches(window: int):
             doc = np.repeat(np.arange(len(per)), per)
             new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
             lo = np.flatnonzero(new)
-            # an anchor that recurs (periodic text) would make a stretch without bound: it is cut
+            if only is None:
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[lo])), cut.column("rid").take(pa.array(doc[lo]))], ["anchor", "rid"])
+                continue
             n = np.diff(np.append(lo, len(at)))
+            keep = only.has(anchor[lo])
+            lo, n = lo[keep], n[keep]
+            # an anchor that recurs (periodic text) would make a stretch without bound: it is cut
             pieces = -(-n // longest)
             lo, left = _ranges(np.zeros(len(lo), np.int64), pieces) * longest + np.repeat(lo, pieces), np.repeat(lo + n, pieces)
             n = np.minimum(left - lo, longest)
@@ -95,27 +107,34 @@ def _window_hashes(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rid, th, starts): first words of the windows of a document that a smaller id has too. docs: rid, th, text."""
-    found = docs.mapInArrow(_stretches(window), "anchor long, rid long, th long, start int, n int, whole long")
-    shared = found.groupBy("anchor").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("anchor")
-    hits = durable(found.join(shared, "anchor", "left_semi"))
+    """(rid, th, runs) of the documents with windows that a smaller id has too; runs are (first window, windows) in any
+    order. docs: rid, th, key, text, where the key is a hash of rid and th."""
+    stretches = docs.select("rid", "text").mapInArrow(_stretches(window), "anchor long, rid long")
+    shared = written(stretches.groupBy("anchor").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("anchor"))
+    hits = written(docs.select("rid", "th", "text").mapInArrow(_stretches(window, marks(shared, "anchor")), "anchor long, rid long, th long, start int, n int, whole long"))
     # equal stretches as one: their smallest id, and the place of one of them to read its words from
-    units = durable(hits.groupBy("anchor", "whole").agg(F.min("rid").alias("min_rid"), F.min(F.struct("rid", "th", "start", "n")).alias("at")))
+    units = written(hits.groupBy("anchor", "whole").agg(F.min("rid").alias("min_rid"), F.max("rid").alias("max_rid"), F.count("*").alias("rows"), F.min(F.struct("rid", "th", "start", "n")).alias("at")))
     # under an anchor with one such unit, all its windows are where the unit is; others are counted window by window
-    crowded = units.groupBy("anchor").agg(F.count("*").alias("units")).filter("units > 1").select("anchor")
-    asked = units.join(crowded, "anchor", "left_semi").select(F.col("at.rid").alias("rid"), F.col("at.th").alias("th"), F.struct("anchor", "whole", "min_rid", F.col("at.start").alias("start"), F.col("at.n").alias("n")).alias("u"))
-    asked = asked.groupBy("rid", "th").agg(F.collect_list("u").alias("units"))
-    one = docs.join(asked, ["rid", "th"]).dropDuplicates(["rid", "th"])
-    windows = durable(one.select("text", "units").mapInArrow(_window_hashes(window), "anchor long, whole long, min_rid long, k int, h long"))
-    least = windows.groupBy("anchor", "h").agg(F.min("min_rid").alias("least"))
-    # per unit, the smallest id of each of its windows, in order; at most window / 2 + 1 of them
-    known = windows.join(least, ["anchor", "h"]).groupBy("anchor", "whole").agg(F.sort_array(F.collect_list(F.struct("k", "least"))).alias("ks"))
-    same = F.transform(F.sequence(F.lit(0), F.col("at.n") - 1), lambda k: F.struct(k.alias("k"), F.col("min_rid").alias("least")))
-    known = units.join(known, ["anchor", "whole"], "left").select("anchor", "whole", F.coalesce("ks", same).alias("ks"))
-    marked = hits.join(known, ["anchor", "whole"])
-    starts = F.transform(F.filter("ks", lambda x: x["least"] < F.col("rid")), lambda x: x["k"] + F.col("start"))
-    marked = marked.select("rid", "th", starts.alias("starts")).filter(F.size("starts") > 0)
-    return marked.groupBy("rid", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    crowded = marks(written(units.groupBy("anchor").agg(F.count("*").alias("units")).filter("units > 1").select("anchor")), "anchor")
+    asked = crowded.keep(units.select("anchor", "whole", "min_rid", "at"), "anchor")
+    asked = asked.select(F.col("at.rid").alias("rid"), F.col("at.th").alias("th"), F.struct("anchor", "whole", "min_rid", F.col("at.start").alias("start"), F.col("at.n").alias("n")).alias("u"))
+    asked = written(asked.groupBy("rid", "th").agg(F.collect_list("u").alias("units")).withColumn("key", F.xxhash64("rid", "th")))
+    texts = marks(asked, "key").keep(docs.select("key", "rid", "th", "text"), "key").drop("key")
+    one = texts.join(asked.drop("key"), ["rid", "th"]).dropDuplicates(["rid", "th"])
+    windows = written(one.select("text", "units").mapInArrow(_window_hashes(window), "anchor long, whole long, min_rid long, k int, h long"))
+    least = written(windows.groupBy("anchor", "h").agg(F.min("min_rid").alias("least"), F.max("min_rid").alias("most"), F.count("*").alias("rows")).filter("least < most").drop("most"))
+    # per unit, its windows that a smaller id has in another unit; at most window / 2 + 1 of them
+    earlier = join_counted(windows, least, ["anchor", "h"], windows.count()).filter("least < min_rid")
+    earlier = earlier.groupBy("anchor", "whole").agg(F.collect_list(F.struct("k", "least")).alias("ks"))
+    known = units.select("anchor", "whole", "min_rid", "max_rid", "rows").join(earlier, ["anchor", "whole"], "left")
+    known = written(known.filter("ks is not null or min_rid < max_rid").drop("max_rid"))
+    marked = join_counted(hits, known, ["anchor", "whole"], hits.count())
+    # all windows of a stretch if its unit has a smaller id, else those that another unit has with one
+    run = lambda start, n: F.struct(start.alias("start"), n.alias("n"))
+    some = F.transform(F.filter("ks", lambda x: x["least"] < F.col("rid")), lambda x: run(F.col("start") + x["k"], F.lit(1)))
+    runs = F.when(F.col("min_rid") < F.col("rid"), F.array(run(F.col("start"), F.col("n")))).otherwise(some)
+    marked = marked.select("rid", "th", F.explode(runs).alias("run"))
+    return marked.groupBy("rid", "th").agg(F.collect_set("run").alias("runs"))
 
 
 def intervals(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +147,20 @@ def intervals(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return s[lo], s[np.append(lo[1:], len(s)) - 1] + window
 
 
+def _windows_of(runs: pa.ListArray) -> list[np.ndarray]:
+    """First words of the windows of each row's runs."""
+    ends, flat = runs.offsets.to_numpy(), runs.values
+    start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n"))
+    return [_ranges(start[a:b], n[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def _cut_out(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cut in slices(batches, "text"):
             n_words, n_removed, sha, kept, spans_ = [], [], [], [], []
-            for text, starts in zip(cut.column("text").to_pylist(), cut.column("starts").to_pylist(), strict=True):
-                words = (text or "").encode().split()  # bytes split at the same six characters
-                lo, hi = intervals(np.array(starts or (), np.int64), window)
+            for text, starts in zip(cut.column("text").to_pylist(), _windows_of(cut.column("runs")), strict=True):
+                words = text.encode().split()  # bytes split at the same six characters
+                lo, hi = intervals(starts, window)
                 out, at = [], 0
                 for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                     out += words[at:a]
@@ -161,10 +187,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text and the removed
     intervals of words (start, end)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), F.xxhash64("text").alias("th"), "doc_id", "text")
-    found = repeated_windows(rows.select("rid", "th", "text"), window)
+    rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), F.xxhash64("text").alias("th"), "doc_id", "text").withColumn("key", F.xxhash64("rid", "th"))
+    found = written(repeated_windows(rows.select("rid", "th", "key", "text"), window).withColumn("key", F.xxhash64("rid", "th")))
+    # texts without a repeat are done where they are read; the others move to their runs
+    marked = marks(found, "key")
+    none = F.array().cast(found.schema["runs"].dataType)
+    whole = marked.keep(rows.select("key", "doc_id", "text"), "key", others=True).select("doc_id", "text", none.alias("runs"))
+    cut = marked.keep(rows, "key").join(found.drop("key"), ["rid", "th"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<struct<start:bigint,end:bigint>>" * with_text
-    return rows.join(found, ["rid", "th"], "left").select("doc_id", "text", "starts").mapInArrow(_cut_out(window, with_text), schema)
+    return whole.unionByName(cut).mapInArrow(_cut_out(window, with_text), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
