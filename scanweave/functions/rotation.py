@@ -26,6 +26,27 @@ def nlerp(a: Q, b: Q, t: Column) -> Q:
     return tuple(m / n for m in mixed)  # type: ignore[return-value]
 
 
+def multiply(a: Q, b: Q) -> Q:
+    """The rotation b, and after it a."""
+    ax, ay, az, aw = a
+    bx, by, bz, bw = b
+    return aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz
+
+
+def inverse(q: Q) -> Q:
+    return -q[0], -q[1], -q[2], q[3]
+
+
+def slerp(a: Q, b: Q, t: Column) -> Q:
+    """The rotation at the place t of the shorter arc from a to b, both of unit length."""
+    dot = sum((p * q for p, q in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
+    angle = F.acos(F.least(F.lit(1.0), F.abs(dot)))
+    bent = F.sin(angle) > 1e-9
+    left = F.when(bent, F.try_divide(F.sin((1.0 - t) * angle), F.sin(angle))).otherwise(1.0 - t)
+    right = F.when(bent, F.try_divide(F.sin(t * angle), F.sin(angle))).otherwise(t) * F.when(dot < 0, -1.0).otherwise(1.0)
+    return tuple(left * p + right * q for p, q in zip(a, b, strict=True))  # type: ignore[return-value]
+
+
 def rodrigues(w: V, v: V, least: float = 1e-6) -> V:
     """v turned by the rotation vector w; unchanged if its angle is not above `least`."""
     angle = F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])

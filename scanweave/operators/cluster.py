@@ -7,6 +7,7 @@ are also operators of their own (joins.py).
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -116,9 +117,9 @@ def cluster_dbscan(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ..
         for i in range(n):  # in scan order, each cluster to its end
             if label[i] != -1 or not core[i]:
                 continue
-            label[i], todo = i, [i]
+            label[i], todo = i, deque([i])
             while todo:
-                k = todo.pop(0)
+                k = todo.popleft()
                 if core[k]:
                     for j in near[at[k] : at[k + 1]]:
                         if label[j] < 0:
@@ -173,29 +174,37 @@ def cluster_depth(points: DataFrame, cfg: Config = DEFAULT, keep: tuple[str, ...
         col = np.trunc((np.arctan2(xyz[:, 1], xyz[:, 0]) + np.pi) / (2 * np.pi) * COLUMNS).astype(np.int64) % COLUMNS
         ok = np.flatnonzero((ring >= 0) & (ring < RINGS))
         ok = ok[np.lexsort((ok, dist[ok], col[ok], ring[ok]))]
-        key = ring[ok] * COLUMNS + col[ok]
-        pixels = dict(zip(key[::-1].tolist(), ok[::-1].tolist(), strict=True))  # nearest return of each pixel
-        label = np.full(len(xyz), -1)
-        for k in sorted(pixels):
-            seed = pixels[k]
-            if label[seed] >= 0:
+        key, first = np.unique(ring[ok] * COLUMNS + col[ok], return_index=True)
+        pixel, depth = ok[first], dist[ok[first]]  # nearest return of each pixel, in row order
+        place = np.full(RINGS * COLUMNS, -1)
+        place[key] = np.arange(len(key))
+        src, dst = [], []
+        r, c = np.divmod(key, COLUMNS)
+        for dr, dc in window:
+            inside = (r + dr >= 0) & (r + dr < RINGS)
+            to = np.where(inside, place[np.where(inside, (r + dr) * COLUMNS + (c + dc) % COLUMNS, 0)], -1)
+            at = np.flatnonzero(to >= 0)
+            to = to[at]
+            alpha = abs(dr) * step[r[at]] if dr else np.full(len(at), abs(dc) * wide)
+            near, far = np.minimum(depth[at], depth[to]), np.maximum(depth[at], depth[to])
+            go = np.arctan2(near * np.sin(alpha), far - near * np.cos(alpha)) > limit
+            src.append(at[go])
+            dst.append(to[go])
+        src, dst = np.concatenate(src), np.concatenate(dst)
+        order = np.argsort(src, kind="stable")
+        to, ends = dst[order], np.searchsorted(src[order], np.arange(len(key) + 1))
+        own = np.full(len(key), -1)
+        for seed in range(len(key)):
+            if own[seed] >= 0:
                 continue
-            label[seed], todo = seed, [k]
-            while todo:
-                r, c = divmod(todo.pop(), COLUMNS)
-                d1 = dist[pixels[r * COLUMNS + c]]
-                for dr, dc in window:
-                    if not 0 <= r + dr < RINGS:
-                        continue
-                    to = (r + dr) * COLUMNS + (c + dc) % COLUMNS
-                    p = pixels.get(to)
-                    if p is None or label[p] >= 0:
-                        continue
-                    alpha = abs(dr) * step[r] if dr else abs(dc) * wide
-                    near, far = min(d1, dist[p]), max(d1, dist[p])
-                    if np.arctan2(near * np.sin(alpha), far - near * np.cos(alpha)) > limit:
-                        label[p] = seed
-                        todo.append(to)
+            own[seed], front = seed, np.array([seed])
+            while len(front):  # one step of the whole region's rim at a time
+                n = ends[front + 1] - ends[front]
+                reached = to[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[front], n)]
+                front = np.unique(reached[own[reached] < 0])
+                own[front] = seed
+        label = np.full(len(xyz), -1)
+        label[pixel] = pixel[own]
         rank = {int(s): (ring[s] * COLUMNS + col[s],) for s in np.unique(label) if s >= 0}
         return numbered(f["point_idx"], label, cfg.min_cluster_size, cfg.max_cluster_size, rank)
 
@@ -206,23 +215,42 @@ NEIGHBOURS, NO_CORE = 8, 2.0
 
 
 def nearest(xyz: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, distances) of the k nearest points of each, itself first; ties by index."""
+    """(indices, distances) of the k nearest points of each, itself first; ties by index. Points that have k others within
+    a small radius are done by cells of that size; the radius doubles for the rest, and the last few meet all points."""
     n, k = len(xyz), min(k, len(xyz))
     idx, dist = np.zeros((n, k), np.int64), np.zeros((n, k))
-    for lo in range(0, n, 512):
-        d = ((xyz[lo : lo + 512, None] - xyz[None]) ** 2).sum(2)
-        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = -1.0
+    left, radius = np.arange(n), 0.1
+    while len(left) * n > 1 << 22 and radius < 4:
+        a, b = pairs_within(xyz, radius)
+        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+        wanted = np.zeros(n, bool)
+        wanted[left] = True
+        src, dst = src[wanted[src]], dst[wanted[src]]
+        d = ((xyz[src] - xyz[dst]) ** 2).sum(1)
+        order = np.lexsort((dst, d, src))
+        src, dst, d = src[order], dst[order], d[order]
+        first, count = np.searchsorted(src, left), np.bincount(src, minlength=n)[left]
+        full = count >= k - 1
+        at = first[full][:, None] + np.arange(k - 1)
+        done = left[full]
+        idx[done, 0], idx[done, 1:], dist[done, 1:] = done, dst[at], np.sqrt(d[at])
+        left, radius = left[~full], radius * 2
+    rows = max(1, (1 << 22) // max(n, 1))
+    for lo in range(0, len(left), rows):
+        own = left[lo : lo + rows]
+        d = ((xyz[own, None] - xyz[None]) ** 2).sum(2)
+        d[np.arange(len(d)), own] = -1.0
         o = np.argsort(d, axis=1, kind="stable")[:, :k]
-        idx[lo : lo + 512], dist[lo : lo + 512] = o, np.sqrt(np.maximum(np.take_along_axis(d, o, 1), 0))
+        idx[own], dist[own] = o, np.sqrt(np.maximum(np.take_along_axis(d, o, 1), 0))
     return idx, dist
 
 
 def reach_edges(xyz: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(u, v, weight) of the mutual-reachability edges, u < v as found from u."""
     scale = 1 + cfg.hdbscan_alpha * np.sqrt((xyz[:, :2] ** 2).sum(1))
-    _, d = nearest(xyz, cfg.hdbscan_min_pts)
-    core = d[:, -1] / scale if d.shape[1] == cfg.hdbscan_min_pts else np.full(len(xyz), NO_CORE)
-    idx, d = nearest(xyz, NEIGHBOURS)
+    idx, d = nearest(xyz, max(cfg.hdbscan_min_pts, NEIGHBOURS))
+    core = d[:, cfg.hdbscan_min_pts - 1] / scale if d.shape[1] >= cfg.hdbscan_min_pts else np.full(len(xyz), NO_CORE)
+    idx, d = idx[:, :NEIGHBOURS], d[:, :NEIGHBOURS]
     u, v = np.repeat(np.arange(len(xyz)), idx.shape[1] - 1), idx[:, 1:].ravel()
     w = np.maximum(np.maximum(core[u], core[v]), d[:, 1:].ravel() / scale[u])
     own = u < v

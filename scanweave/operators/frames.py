@@ -1,16 +1,18 @@
 """Running a kernel over whole frames, and the graph steps that kernels share.
 
-Frames are independent and small, so a kernel sees one frame at a time: rows are hashed to partitions by frame, sorted
-by point index, and stream through Arrow batches. A task holds one frame and one batch.
+Frames are independent and small, so a kernel sees one frame at a time. Rows are grouped by frame: where they are dealt
+by frame already, nothing is shuffled again. A task holds one frame.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Frame = dict[str, np.ndarray]
 
@@ -21,33 +23,20 @@ def per_frame(df: DataFrame, kernel: Callable[[Frame], Frame], schema: str, orde
     schema += "".join(f", {c} double" for c in keep)
     names = [c.split()[0] for c in schema.split(",")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            got = kernel({n: t.column(n).to_numpy() for n in t.column_names})
-            n = len(next(iter(got.values()))) if got else 0
-            if keep:
-                at = np.searchsorted(t.column(order).to_numpy(), got[order])
-                got = {c: t.column(c).to_numpy()[at] for c in keep} | got
-            got = {frame: np.full(n, t.column(frame)[0].as_py()), **got}
-            return pa.RecordBatch.from_arrays([pa.array(got[c], from_pandas=True) for c in names], names)
-
-        for b in batches:
-            ids = b.column(frame).to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                if held and held[0].column(frame)[0].as_py() != ids[lo]:
-                    yield done()
-                    held = []
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield done()
-
-    return df.repartition(frame).sortWithinPartitions(frame, order).mapInArrow(run, schema)
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        got = kernel({n: t.column(n).to_numpy() for n in t.column_names})
+        n = len(next(iter(got.values()))) if got else 0
+        if keep:
+            at = np.searchsorted(t.column(order).to_numpy(), got[order])
+            got = {c: t.column(c).to_numpy()[at] for c in keep} | got
+        if not got:
+            got = {c: np.zeros(0) for c in names}
+        got = {frame: np.full(n, t.column(frame)[0].as_py()), **got}
+        return pa.table([pa.array(got[c], from_pandas=True) for c in names], names).cast(kinds)
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return df.groupBy(frame).applyInArrow(run, schema)
 
 
 def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -27,7 +27,8 @@ def with_cell_min(points: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Points in the ring that the polar grid covers, with seg, bin and the least height of their cell."""
     x, y = C("x"), C("y")
     r = planar_range(x, y)
-    inside = points.filter((r >= INNER_RADIUS) & (r <= cfg.max_range)).withColumns({"seg": sector(x, y, cfg.bin_segments), "bin": radial_bin(x, y, cfg.bin_bins, cfg.max_range)})
+    # by frame only: the window needs no shuffle of its own, nor does a kernel over frames behind it
+    inside = points.filter((r >= INNER_RADIUS) & (r <= cfg.max_range)).repartition("frame_id").withColumns({"seg": sector(x, y, cfg.bin_segments), "bin": radial_bin(x, y, cfg.bin_bins, cfg.max_range)})
     return inside.withColumn("cell_min_z", F.min("z").over(Window.partitionBy("frame_id", "seg", "bin")))
 
 

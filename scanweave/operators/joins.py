@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import COLUMNS, DEFAULT, RINGS
 from ..functions.scalars import beta, cell, image_column, in_image, ring_step
+from .frames import Frame, pairs_within, per_frame
 
 C = F.col
 
@@ -27,17 +29,15 @@ def touching_cells(cells: DataFrame) -> DataFrame:
 
 
 def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """Pairs a < b of points of a frame within `radius`: cells of that size, and the 14 of the 27 neighbours that hold
-    each pair once."""
-    p = points.select("frame_id", "point_idx", "x", "y", "z", *(cell(C(v), radius).alias(f"c{v}") for v in "xyz"))
-    half = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
-    offsets = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(o, "abc", strict=True))) for o in half))
-    left = p.withColumn("o", F.explode(offsets)).select(
-        "frame_id", *(C(v).alias(f"l_{v}") for v in ("point_idx", "x", "y", "z")), *((C(f"c{v}") + C(f"o.{k}")).alias(f"c{v}") for v, k in zip("xyz", "abc", strict=True)), (F.abs("o.a") + F.abs("o.b") + F.abs("o.c") == 0).alias("own")
-    )
-    d2 = sum(((C(f"l_{v}") - C(v)) * (C(f"l_{v}") - C(v)) for v in "yz"), (C("l_x") - C("x")) * (C("l_x") - C("x")))
-    met = left.join(p, ["frame_id", "cx", "cy", "cz"]).filter((d2 <= radius * radius) & (~C("own") | (C("l_point_idx") < C("point_idx"))))
-    return met.select("frame_id", F.least("l_point_idx", "point_idx").alias("a"), F.greatest("l_point_idx", "point_idx").alias("b"), d2.alias("d2"))
+    """Pairs a < b of points of a frame within `radius`: one shuffle by frame, and in it cells of that size, of which
+    half of the 27 neighbours hold each pair once."""
+
+    def kernel(f: Frame) -> Frame:
+        xyz, idx = np.stack([f["x"], f["y"], f["z"]], 1), f["point_idx"]
+        i, j = pairs_within(xyz, radius)
+        return {"a": idx[i], "b": idx[j], "d2": ((xyz[i] - xyz[j]) ** 2).sum(1)}
+
+    return per_frame(points.select("frame_id", "point_idx", "x", "y", "z"), kernel, "frame_id bigint, a bigint, b bigint, d2 double")
 
 
 def nearest_neighbours(points: DataFrame, k: int, reach: float) -> DataFrame:

@@ -8,19 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.temporal import ALPHA, FAR
+from ..operators.temporal import clock_step
 
 OUT = "sensor bigint, seq bigint, offset bigint"
 
 
-def step(first: int | None, offset: int, diff: int) -> tuple[int, int]:
-    """(first offset, running offset) after one more difference; the running one is truncated toward zero."""
-    if first is None:
-        first = 0 if abs(diff) < FAR else diff
-        return first, first
-    return first, int((1.0 - ALPHA) * float(offset) + ALPHA * float(diff)) if first != 0 else offset
-
-
 def offsets_stream(arrivals: DataFrame) -> DataFrame:
     """(sensor, seq, offset) of a stream of (sensor, seq, raw_ns, ref_ns). The rows of a trigger are taken in order of seq."""
 
@@ -29,7 +21,7 @@ def offsets_stream(arrivals: DataFrame) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
         for diff in (rows["raw_ns"] - rows["ref_ns"]).tolist():
-            first, offset = step(first, offset, int(diff))
+            first, offset = clock_step(first, offset, int(diff))
             out.append(offset)
         state.update((first, offset))
         yield pd.DataFrame({"sensor": key[0], "seq": rows["seq"].to_numpy(), "offset": out})
