@@ -1,21 +1,29 @@
-"""Motion compensation of sweeps: a trajectory integrated from inertial samples, applied to every point."""
+"""Motion compensation of sweeps: a trajectory integrated from inertial samples, applied to every point.
+
+Points meet the samples of their frame once, grouped by frame; what else is needed is a row per frame. A task holds the
+points of one frame and its samples.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..config import DEFAULT, TIME_GATE, UP_AXES, Config
-from ..functions.rotation import nlerp, rodrigues, rotate
-from .features import settled
+from ..functions.rotation import matrix_of
+from ..sources.tf import lookup_at
 from .frames import Frame, per_frame
-from .temporal import window_join
+from .temporal import HALF_WINDOW, as_of, motion, window_join
 
 C = F.col
 #: Axes of the inertial unit in the sensor's frame: x, z, -y.
 AXES = np.array([[1.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.0, -1.0, 0.0]])
-POSE = "ts_ns bigint, qx double, qy double, qz double, qw double, px double, py double, pz double"
+TRAJECTORY = "ts_ns bigint, qx double, qy double, qz double, qw double, px double, py double, pz double"
 
 
 def outside_gate(ts: Column, ref: Column) -> Column:
@@ -58,61 +66,121 @@ def integrate(ts: np.ndarray, gyro: np.ndarray, accel: np.ndarray, target: int,
     return q, x
 
 
-def trajectories(frames: DataFrame, samples: DataFrame, velocities: DataFrame, lever: tuple[float, float, float] = (0.0, 0.0, 0.0), cfg: Config = DEFAULT) -> DataFrame:
-    """(frame_id, pose) for frames of at least two samples in their window: a row per sample, in order of time. The world
-    turns with the sensor's frame here: gravity lies along the configured axis."""
-    gravity, arm = np.array(UP_AXES[cfg.world_up_axis]), np.array(lever)
-    met = window_join(frames, samples).join(velocities, "frame_id")
+SAMPLE = ("wx", "wy", "wz", "ax", "ay", "az")
+OF_FRAME = ("header_ts_ns", "vx", "vy", "vz", "qx", "qy", "qz", "qw", "lx", "ly", "lz")
+
+
+def frame_motion(frames: DataFrame, edges: DataFrame, body: str = "lidar", cfg: Config = DEFAULT) -> DataFrame:
+    """(frame_id, header_ts_ns, vx, vy, vz, qx ... qw, lx, ly, lz): velocity in the world and rotation to it at each frame,
+    and the place of the inertial unit in the sensor's frame. The world is `odom` if the edges know it, else `map`."""
+    heads = frames.select("frame_id", "header_ts_ns")
+    world = "map" if edges.filter("parent = 'odom' or child = 'odom'").isEmpty() else "odom"
+    own = motion(heads, edges, world, body).drop("tx", "ty", "tz")
+    arm = lookup_at(heads, edges, body, cfg.imu_frame, "header_ts_ns").select("frame_id", "header_ts_ns", C("tx").alias("lx"), C("ty").alias("ly"), C("tz").alias("lz"))
+    return own.join(arm, "frame_id").select("frame_id", *OF_FRAME)
+
+
+def _in_sensor(f: Frame, cfg: Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(velocity, gravity, lever arm) of a frame, all in the sensor's frame."""
+    back = matrix_of(tuple(float(f[f"q{c}"][0]) for c in "xyzw")).T
+    v, arm = (np.array([float(f[f"{n}{c}"][0]) for c in "xyz"]) for n in "vl")
+    return back @ v, back @ np.array(UP_AXES[cfg.world_up_axis]), arm
+
+
+def _path(f: Frame, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
+    v, gravity, arm = _in_sensor(f, cfg)
+    return integrate(f["ts_ns"], np.stack([f["wx"], f["wy"], f["wz"]], 1), np.stack([f["ax"], f["ay"], f["az"]], 1), int(f["header_ts_ns"][0]), v, arm, gravity, cfg.gravity_sign)
+
+
+def trajectories(moves: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(frame_id, pose) for frames of at least two samples in their window: a row per sample, in order of time. `moves`
+    is what frame_motion() gives."""
 
     def kernel(f: Frame) -> Frame:
-        ts = f["ts_ns"]
-        if len(ts) < 2:
+        if len(f["ts_ns"]) < 2:
             return {}
-        q, x = integrate(ts, np.stack([f["wx"], f["wy"], f["wz"]], 1), np.stack([f["ax"], f["ay"], f["az"]], 1), int(f["header_ts_ns"][0]), np.array([f["vx"][0], f["vy"][0], f["vz"][0]]), arm, gravity, cfg.gravity_sign)
-        return {"ts_ns": ts, **{f"q{c}": q[:, k] for k, c in enumerate("xyzw")}, **{f"p{c}": x[:, k] for k, c in enumerate("xyz")}}
-
-    cols = ("frame_id", "header_ts_ns", "ts_ns", "wx", "wy", "wz", "ax", "ay", "az", "vx", "vy", "vz")
-    return per_frame(met.select(*cols), kernel, "frame_id bigint, " + POSE, order="ts_ns")
-
-
-def bracketed(points: DataFrame, poses: DataFrame) -> DataFrame:
-    """Points with the frame's poses as a sorted array `traj` (a window of samples, so bounded), the pose at or after each
-    point (`hi`), the one before (`lo`) and the place between them (`a`)."""
-    pose = F.struct(*(c.split()[0] for c in POSE.split(", ")))
-    arrays = poses.groupBy("frame_id").agg(F.sort_array(F.collect_list(pose)).alias("traj"))
-    p = points.join(arrays, "frame_id", "left").withColumn("ts_ns", (C("timestamp") * 1e9).cast("long"))
-    later = F.size(F.filter("traj", lambda s: s["ts_ns"] < C("ts_ns")))
-    p = p.withColumn("k", F.least(later, F.size("traj") - 1))
-    lo, hi = F.get("traj", F.greatest(C("k") - 1, F.lit(0))), F.get("traj", C("k"))
-    p = p.withColumns({"lo": F.when(later >= F.size("traj"), hi).otherwise(lo), "hi": hi})
-    a = F.coalesce(F.try_divide((C("ts_ns") - C("lo.ts_ns")).cast("double"), (C("hi.ts_ns") - C("lo.ts_ns")).cast("double")), F.lit(0.0))
-    return p.withColumn("a", F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))).drop("traj", "k")
-
-
-def deskew_points(points: DataFrame, frames: DataFrame, poses: DataFrame, rates: DataFrame, lever: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """points with x, y, z moved to the frame's time and `moved`, the length of the move (null where the point is kept).
-
-    With a trajectory: the pose at the point's time is applied about the lever arm. Without: constant velocity and the
-    rate of turn from `rates` (frame_id, wx, wy, wz at the point's frame, vx, vy, vz)."""
-    arm = tuple(F.lit(float(v)) for v in lever)
-    p = bracketed(points, poses).join(frames.select("frame_id", "header_ts_ns"), "frame_id").join(rates, "frame_id", "left")
-    ref = C("header_ts_ns").cast("double") / 1e9
-    rel = tuple(C(c) - a for c, a in zip("xyz", arm, strict=True))
-    q = nlerp(tuple(C(f"lo.q{c}") for c in "xyzw"), tuple(C(f"hi.q{c}") for c in "xyzw"), C("a"))
-    p = settled(settled(p).withColumns({f"__q{k}": c for k, c in enumerate(q)} | {"__dt": C("timestamp") - ref}))
-    q = tuple(C(f"__q{k}") for k in range(4))
-    shift = [(1.0 - C("a")) * C(f"lo.p{c}") + C("a") * C(f"hi.p{c}") for c in "xyz"]
-    by_pose = [v + a + d for v, a, d in zip(rotate(q, rel), arm, shift, strict=True)]
-    dt = C("__dt")
-    turn = (C("wx") * dt, C("wz") * dt, -C("wy") * dt)
-    by_rate = [v + a + dt * C(f"v{c}") for v, a, c in zip(rodrigues(turn, rel), arm, "xyz", strict=True)]
-    kept = outside_gate(C("timestamp"), ref)
-    new = {f"n{c}": F.when(kept, C(c)).when(C("hi").isNotNull(), u).when(C("vx").isNotNull(), w).otherwise(C(c)) for c, u, w in zip("xyz", by_pose, by_rate, strict=True)}
-    p = settled(p.withColumns(new).withColumn("__kept", kept))
-    gone = F.sqrt(sum(((C(f"n{c}") - C(c)) * (C(f"n{c}") - C(c)) for c in "yz"), (C("nx") - C("x")) * (C("nx") - C("x"))))
-    p = p.withColumn("moved", F.when(~C("__kept"), gone))
-    own = [c for c in points.columns if c not in ("x", "y", "z")]
-    return p.select(*own, C("nx").alias("x"), C("ny").alias("y"), C("nz").alias("z"), "moved")
+        q, x = _path(f, cfg)
+        return {"ts_ns": f["ts_ns"], **{f"q{c}": q[:, k] for k, c in enumerate("xyzw")}, **{f"p{c}": x[:, k] for k, c in enumerate("xyz")}}
+
+    met = window_join(moves, samples.select("ts_ns", *SAMPLE)).select("frame_id", "ts_ns", *SAMPLE, *OF_FRAME)
+    return per_frame(met, kernel, "frame_id bigint, " + TRAJECTORY, order="ts_ns")
+
+
+def frame_samples(moves: DataFrame, samples: DataFrame) -> DataFrame:
+    """Samples in the window of each frame (`inside`), with the frame's motion. A frame with fewer than two gets the
+    nearest ones before and after its window too, from which a rate of turn at any of its points follows."""
+    own = samples.select("ts_ns", *SAMPLE)
+    met = window_join(moves, own).select("frame_id", F.lit(True).alias("inside"), "ts_ns", *SAMPLE, *OF_FRAME)
+    enough = met.groupBy("frame_id").agg(F.count("*").alias("n")).filter("n >= 2").select("frame_id")
+    few = moves.join(enough, "frame_id", "left_anti")
+    rest = []
+    for side, at in (("p", C("header_ts_ns") - HALF_WINDOW - 1), ("n", C("header_ts_ns") + HALF_WINDOW + 1)):
+        near = as_of(few.withColumn("edge_ns", at), own, "edge_ns", list(SAMPLE))
+        rest.append(near.filter(C(f"{side}_ts_ns").isNotNull()).select("frame_id", F.lit(False).alias("inside"), *(C(f"{side}_{c}").alias(c) for c in ("ts_ns", *SAMPLE)), *OF_FRAME))
+    return met.unionByName(rest[0]).unionByName(rest[1])
+
+
+def moved(xyz: np.ndarray, timestamp: np.ndarray, f: Frame, cfg: Config = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
+    """(points at the frame's time, whether each was moved) by the frame's samples in order of time. Points that are not
+    finite, or too far from the frame's time, stay. With two samples in the window or more the path's pose at the point's
+    time, between the two around it, turns it about the lever arm; else velocity and rate of turn do."""
+    target = int(f["header_ts_ns"][0])
+    go = np.isfinite(xyz).all(1) & np.isfinite(timestamp)
+    at = (np.where(go, timestamp, 0.0) * 1e9).astype(np.int64)
+    dt = (at.astype(np.float64) - float(target)) / 1e9
+    go &= np.abs(dt) <= TIME_GATE
+    at, dt, p = at[go], dt[go], xyz[go]
+    v, _, arm = _in_sensor(f, cfg)
+    inside = {c: x[f["inside"]] for c, x in f.items()}
+    ts = inside["ts_ns"] if inside["inside"].sum() >= 2 else f["ts_ns"]
+    hi = np.minimum(np.searchsorted(ts, at, "left"), len(ts) - 1)
+    lo = np.where(at > ts[-1], hi, np.maximum(hi - 1, 0))
+    span = (ts[hi] - ts[lo]).astype(np.float64)
+    a = np.clip(np.divide((at - ts[lo]).astype(np.float64), span, out=np.zeros(len(at)), where=span > 0), 0, 1)[:, None]
+    if len(ts) == len(inside["ts_ns"]) and len(ts) >= 2:
+        q, x = _path(inside, cfg)
+        turn = (1 - a) * q[lo] + a * q[hi]
+        turn /= np.linalg.norm(turn, axis=1)[:, None]
+        u, w = turn[:, :3], turn[:, 3:]
+        rel = p - arm
+        t = 2 * np.cross(u, rel)
+        new = rel + w * t + np.cross(u, t) + arm + (1 - a) * x[lo] + a * x[hi]
+    else:
+        gyro = np.stack([f["wx"], f["wy"], f["wz"]], 1)
+        turn = dt[:, None] * (((1 - a) * gyro[lo] + a * gyro[hi]) @ AXES.T)
+        angle = np.linalg.norm(turn, axis=1)[:, None]
+        axis = np.divide(turn, angle, out=np.zeros_like(turn), where=angle > 0)
+        rel = p - arm
+        round_ = rel * np.cos(angle) + np.cross(axis, rel) * np.sin(angle) + axis * (axis * rel).sum(1)[:, None] * (1 - np.cos(angle))
+        new = np.where(angle > 1e-6, round_, rel) + arm + dt[:, None] * v
+    out = xyz.copy()
+    out[go] = new
+    return out, go
+
+
+def deskew_points(points: DataFrame, moves: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """points with x, y, z moved to their frame's time and a last column `moved`, the length of the move, null where a point
+    stays. Points of frames without motion stay, and all do if there are no samples at all."""
+    schema = StructType([*points.schema.fields, StructField("moved", DoubleType())])
+    kinds = to_arrow_schema(schema)
+    names = points.columns
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = left.num_rows
+        if not n or not right.num_rows:
+            return pa.table([*left.columns, pa.nulls(n, pa.float64())], [*names, "moved"]).cast(kinds)
+        right = right.sort_by("ts_ns")
+        column = lambda t, c: t.column(c).to_numpy().astype(np.float64)
+        f = {c: right.column(c).to_numpy() for c in right.column_names}
+        xyz = np.stack([column(left, c) for c in "xyz"], 1)
+        new, go = moved(xyz, column(left, "timestamp"), f, cfg)
+        gone = np.sqrt(((new - xyz) ** 2).sum(1))
+        place = {c: pc.if_else(pa.array(go), pa.array(new[:, k]), left.column(c).cast(pa.float64())) for k, c in enumerate("xyz")}
+        cols = [place.get(c, left.column(c)) for c in names]
+        return pa.table([*cols, pa.array(gone, mask=~go)], [*names, "moved"]).cast(kinds)
+
+    met = frame_samples(moves, samples)
+    return points.groupBy("frame_id").cogroup(met.groupBy("frame_id")).applyInArrow(run, schema)
 
 
 def deskew_metrics(moved: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.cluster import CLUSTERERS
 from ..operators.greedy import aggregate_duplicates, centroids, merge_clusters, seeds_of
 from ..plans import pipeline as pl
 from ..sources import fixtures as fx
-from .twin import BIN, COLUMN, SECTOR, twin
+from .twin import BIN, COLUMN, SECTOR, moving, twin
 
 C = F.col
 QUERIES: dict = {}
@@ -31,8 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
-    """Doubles to so many digits, or to a column's own number of them."""
-    return df.select(*(F.round(c, own.get(c, digits)).alias(c) if t == "double" else C(c) for c, t in df.dtypes))
+    """Doubles to so many digits, or to a column's own number of them; zero has no sign."""
+    return df.select(*((F.round(c, own.get(c, digits)) + F.lit(0.0)).alias(c) if t == "double" else C(c) for c, t in df.dtypes))
 
 
 def r(*cs: str, digits: int = 6) -> str:
@@ -88,14 +88,11 @@ def grid_key(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(*P, s.cell(C("x"), 0.12).alias("cx"), s.cell(C("y"), 0.12).alias("cy"))
 
 
-@query("voxel_key", twin("select frame_id, point_idx, cast(floor(x / 0.02e0) as int) as vx, cast(floor(y / 0.02e0) as int) as vy, cast(floor(z / 0.02e0) as int) as vz from points where (point_idx + o) % 2 = 0", "points"))
+@query("voxel_key", twin("select frame_id, point_idx, cast(floor(x / 0.02e0) as int) as vx, cast(floor(y / 0.02e0) as int) as vy, cast(floor(z / 0.02e0) as int) as vz from points", "points"))
 def voxel_key(spark: SparkSession, sf: str) -> DataFrame:
     return fx.points(spark, sf).select(*P, *(s.cell(C(c), 0.02).alias("v" + c) for c in "xyz"))
 
 
-ORACLES["voxel_key"] = twin("select frame_id, point_idx, cast(floor(x / 0.02e0) as int) as vx, cast(floor(y / 0.02e0) as int) as vy, cast(floor(z / 0.02e0) as int) as vz from points", "points")
-
-
 @query(
     "dbscan_cell_key",
     twin("select frame_id, point_idx, cast(trunc((x + 30e0) / 0.3e0) as int) as gx, cast(trunc((y + 30e0) / 0.3e0) as int) as gy, cast(trunc((z + 2e0) / 0.3e0) as int) as gz from points where x >= -30 and y >= -30 and z >= -2", "points"),
@@ -453,9 +450,21 @@ def duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(aggregate_duplicates(c).select("frame_id", "cluster_id", "merged", *_CONE))
 
 
-@query("pipeline_cones", twin(f"select frame_id, cluster_id, {r(*_CONE)}, confidence, 'UNKNOWN' as color from final", "final"))
+def motion_of(spark: SparkSession, sf: str) -> pl.Motion:
+    """What the fixture has of motion; a frame's time is 1.3 ms after its header."""
+    return pl.Motion(fx.frames(spark, sf).withColumn("header_ts_ns", C("header_ts_ns") + 1_300_000), fx.imu(spark, sf), fx.edges(spark, sf))
+
+
+@query("pipeline_cones", moving(f"select frame_id, cluster_id, {r(*_CONE)}, confidence, 'UNKNOWN' as color from final", "final"))
 def pipeline_cones(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pl.cones(fx.points(spark, sf)).select("frame_id", "cluster_id", *_CONE, "confidence", "color"))
+    return rounded(pl.cones(fx.points(spark, sf), move=motion_of(spark, sf)).select("frame_id", "cluster_id", *_CONE, "confidence", "color"))
+
+
+@query("pipeline_cones_still", twin(f"select frame_id, cluster_id, {r(*_CONE)}, confidence, 'UNKNOWN' as color from final", "final"))
+def pipeline_cones_still(spark: SparkSession, sf: str) -> DataFrame:
+    """Without motion compensation, as `use_deskewing` false gives it."""
+    cfg = pl.BATCH.override(use_deskewing=False)
+    return rounded(pl.cones(fx.points(spark, sf), cfg, motion_of(spark, sf)).select("frame_id", "cluster_id", *_CONE, "confidence", "color"))
 
 
 @query(

@@ -12,7 +12,7 @@ from ..operators import temporal as tm
 from ..sources import fixtures as fx
 from ..sources.tf import lookup, static_transforms
 from .q_points import rounded
-from .twin import twin
+from .twin import moving, twin
 
 C = F.col
 QUERIES: dict = {}
@@ -192,38 +192,41 @@ def nlerp_query(spark: SparkSession, sf: str) -> DataFrame:
 # ---- motion compensation: frames of the fixture lie 100 ms apart, samples 2.5 ms
 
 
-def _setting(spark: SparkSession, sf: str):
-    frames, samples = _frames(spark, sf), fx.imu(spark, sf)
-    v = tm.velocity(frames, fx.poses(spark, sf))
-    return frames, samples, v, dk.trajectories(frames, samples, v)
+def _moves(spark: SparkSession, sf: str) -> DataFrame:
+    return dk.frame_motion(_frames(spark, sf), fx.edges(spark, sf))
 
 
-@query("deskew_integrate")
+@query("deskew_integrate", moving("select frame_id, ts_ns, 0e0 as qx, round(qy, 6) + 0e0 as qy, 0e0 as qz, round(qw, 6) as qw, round(px, 6) + 0e0 as px, round(py, 6) + 0e0 as py, round(pz, 6) + 0e0 as pz from path"))
 def deskew_integrate(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_setting(spark, sf)[3], 6)
+    return rounded(dk.trajectories(_moves(spark, sf), fx.imu(spark, sf)))
 
 
 def _moved(spark: SparkSession, sf: str) -> DataFrame:
-    frames, samples, v, traj = _setting(spark, sf)
-    rates = tm.interpolated(frames.select("frame_id", "header_ts_ns"), samples, "header_ts_ns", ["wx", "wy", "wz"]).join(v, "frame_id").drop("header_ts_ns")
-    return dk.deskew_points(fx.points(spark, sf), frames, traj, rates)
+    return dk.deskew_points(fx.points(spark, sf), _moves(spark, sf), fx.imu(spark, sf))
 
 
-@query("deskew_points")
+@query("deskew_points", moving("select frame_id, point_idx, round(nx, 6) + 0e0 as x, round(ny, 6) + 0e0 as y, round(nz, 6) + 0e0 as z, round(moved, 6) as moved from gone"))
 def deskew_points(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_moved(spark, sf).select("frame_id", "point_idx", "x", "y", "z", "moved"), 6)
+    return rounded(_moved(spark, sf).select("frame_id", "point_idx", "x", "y", "z", "moved"))
 
 
-@query("deskew_metrics")
+@query("deskew_metrics", moving("select frame_id, count(moved) as n, round(avg(moved), 6) as avg_m, round(max(moved), 6) as max_m from gone group by frame_id"))
 def deskew_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(dk.deskew_metrics(_moved(spark, sf)), 6)
+    return rounded(dk.deskew_metrics(_moved(spark, sf)))
+
+
+@query("frame_motion", moving("select frame_id, t as header_ts_ns, round(vx, 6) as vx, round(vy, 6) as vy, 0e0 as vz, 0e0 as qx, 0e0 as qy, round(sin(yaw / 2e0), 6) + 0e0 as qz, round(cos(yaw / 2e0), 6) as qw, 0.3e0 as lx, 0.05e0 as ly, -0.1e0 as lz from mv"))
+def frame_motion(spark: SparkSession, sf: str) -> DataFrame:
+    """Velocity, rotation and lever arm by lookups through the transform tree over time."""
+    return rounded(_moves(spark, sf))
 
 
 @query(
     "trajectory_asof",
     _sql(
-        """, pt as (select frame_id, point_idx, (timestamp * 1e9)::bigint as t from points where frame_id < 5),
-     nb as (select *, (select max(ts_ns) from poses where ts_ns < t) as p, (select min(ts_ns) from poses where ts_ns >= t) as n from pt)
+        """, pt as (select frame_id, point_idx, (timestamp * 1e9)::bigint as t from points),
+     lo as (select pt.*, b.ts_ns as p from pt asof left join poses b on pt.t > b.ts_ns),
+     nb as (select lo.*, b.ts_ns as n from lo asof left join poses b on lo.t <= b.ts_ns)
      select frame_id, point_idx, round(case when p is null then b.tx when n is null then a.tx else (1e0 - (t - p)::double / (n - p)::double) * a.tx + (t - p)::double / (n - p)::double * b.tx end, 5) as px
      from nb left join poses a on a.ts_ns = p left join poses b on b.ts_ns = n""",
         "points", "poses",
@@ -231,7 +234,7 @@ def deskew_metrics(spark: SparkSession, sf: str) -> DataFrame:
 )
 def trajectory_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Position at each point's time, between the poses around it."""
-    p = fx.points(spark, sf).filter("frame_id < 5").select("frame_id", "point_idx", (C("timestamp") * 1e9).cast("long").alias("t_ns"))
+    p = fx.points(spark, sf).select("frame_id", "point_idx", (C("timestamp") * 1e9).cast("long").alias("t_ns"))
     got = tm.interpolated(p, fx.poses(spark, sf), "t_ns", ["tx"])
     return rounded(got.select("frame_id", "point_idx", C("tx").alias("px")), 5)
 

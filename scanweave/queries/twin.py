@@ -68,9 +68,6 @@ CTE = {
     "final": """select c.* exclude (x, y, z, range, bearing), merged, case when merged > 1 then mx else x end as x, case when merged > 1 then my else y end as y, case when merged > 1 then mz else z end as z,
       case when merged > 1 then sqrt(mx * mx + my * my) else range end as range, case when merged > 1 then atan2(my, mx) else bearing end as bearing from cone c join dmean using (frame_id, cluster_id)""",
 }
-CHAIN = {
-    "kept": ["points"], "norm": ["points", "kept"], "polar": ["points", "kept", "norm"], "obs": ["points", "kept", "norm", "polar", "celled"],
-}
 ORDER = list(CTE)
 RAW = ("points", "wide", "imu", "poses", "frames", "profiles", "log")
 
@@ -83,3 +80,54 @@ def twin(final: str, upto: str | None = None, *more: str) -> str:
     elif upto:
         names += ["points", *ORDER[len(RAW) : ORDER.index(upto) + 1]]
     return "with recursive " + ",\n".join(f'"{n}" as ({CTE[n]})' for n in names) + "\n" + final
+
+
+_BETWEEN = "case when p is not null and n is not null then case when n = p then a.{0} else (1e0 - (t - p)::double / (n - p)::double) * a.{0} + (t - p)::double / (n - p)::double * b.{0} end else l.{0} end as {0}"
+_KNOWN = "(tx <> 0 or ty <> 0 or yaw <> 0)"
+_X, _Y, _Z = (f"({v}e0)" for v in fx.ARM)
+#: Velocity and heading at each frame, whose time is 1.3 ms after its header. The sensor turns about z only.
+MOVES = f""", fr as (select frame_id, header_ts_ns + 1300000 as t from frames),
+ ask as (select frame_id, u, t + (u * 1000000)::bigint as t from fr, (select unnest([-50, -25, 0, 25, 50, -20]) as u) us),
+ turned as (select *, 2e0 * atan2(qz, qw) as yaw from poses),
+ nb as (select *, (select max(ts_ns) from poses where ts_ns <= t) as p, (select min(ts_ns) from poses where ts_ns >= t) as n from ask),
+ latest as (select arg_max(tx, ts_ns) as tx, arg_max(ty, ts_ns) as ty, arg_max(yaw, ts_ns) as yaw from turned),
+ pos as (select nb.frame_id, u, t, {", ".join(_BETWEEN.format(c) for c in ("tx", "ty", "yaw"))} from nb left join turned a on a.ts_ns = p left join turned b on b.ts_ns = n cross join latest l),
+ k as (select frame_id, count(*) filter (u <> -20 and {_KNOWN}) as n5, count(*) filter (u in (0, -20) and {_KNOWN}) as n2, sum(u / 1e3 * tx) filter (u <> -20) as sx, sum(u / 1e3 * ty) filter (u <> -20) as sy,
+    max(tx) filter (u = 0) - max(tx) filter (u = -20) as dx, max(ty) filter (u = 0) - max(ty) filter (u = -20) as dy, max(yaw) filter (u = 0) as yaw, max(t) filter (u = 0) as t from pos group by frame_id),
+ mv as (select frame_id, t, yaw, case when n5 = 5 then sx / 0.00625e0 when n2 = 2 then dx / 0.02e0 else 0e0 end as vx, case when n5 = 5 then sy / 0.00625e0 when n2 = 2 then dy / 0.02e0 else 0e0 end as vy from k)"""
+#: The path over each frame's samples: the inertial unit turns about one axis only, so that turns add up.
+PATH = f""", win as (select f.frame_id, f.t, i.ts_ns, i.wz, i.ax, row_number() over (partition by f.frame_id order by i.ts_ns) as k from fr f join imu i on i.ts_ns between f.t - 150000000 and f.t + 150000000),
+ mid as (select frame_id, arg_min(k, (abs(ts_ns - t), k)) as m from win group by frame_id having count(*) >= 2),
+ st as (select w.frame_id, w.k, w.ts_ns, sign(w.k - m.m) as sd, abs(w.k - m.m) as r, (b.wz + w.wz) / 2e0 as om, (b.ax + w.ax) / 2e0 as ac,
+    case when w.k > m.m then case when w.ts_ns - b.ts_ns between 1 and 100000000 then (w.ts_ns - b.ts_ns) / 1e9 else 0.01e0 end when b.ts_ns - w.ts_ns > 100000000 then -0.01e0 else (w.ts_ns - b.ts_ns) / 1e9 end as dt
+   from win w join mid m using (frame_id) join win b on b.frame_id = w.frame_id and b.k = w.k - sign(w.k - m.m) where w.k <> m.m),
+ th as (select *, sum(om * dt) over (o rows between unbounded preceding and current row) as theta, coalesce(sum(om * dt) over (o rows between unbounded preceding and 1 preceding), 0e0) as th0 from st window o as (partition by frame_id, sd order by r)),
+ acc as (select th.*, cos(yaw) * vx + sin(yaw) * vy as v0x, cos(yaw) * vy - sin(yaw) * vx as v0y, cos(th0) * (ac - om * om * {_X}) + sin(th0) * (9.80665e0 - om * om * {_Z}) + 9.80665e0 * sin(yaw) as fx,
+    9.80665e0 * cos(yaw) as fy, cos(th0) * (9.80665e0 - om * om * {_Z}) - sin(th0) * (ac - om * om * {_X}) as fz from th join mv using (frame_id)),
+ vel as (select *, v0x + coalesce(sum(fx * dt) over o, 0e0) as v1x, v0y + coalesce(sum(fy * dt) over o, 0e0) as v1y, coalesce(sum(fz * dt) over o, 0e0) as v1z from acc window o as (partition by frame_id, sd order by r rows between unbounded preceding and 1 preceding)),
+ path as (select frame_id, ts_ns, sin(theta / 2e0) as qy, cos(theta / 2e0) as qw, sum(v1x * dt + fx * dt * dt / 2e0) over o as px, sum(v1y * dt + fy * dt * dt / 2e0) over o as py, sum(v1z * dt + fz * dt * dt / 2e0) over o as pz
+    from vel window o as (partition by frame_id, sd order by r rows between unbounded preceding and current row)
+   union all select w.frame_id, w.ts_ns, 0e0, 1e0, 0e0, 0e0, 0e0 from win w join mid m on m.frame_id = w.frame_id and m.m = w.k)"""
+#: Points at their frame's time.
+MOVED = f""", pts as (select p.frame_id, point_idx, x, y, z, trunc(timestamp * 1e9)::bigint as ts, t from points p join mv using (frame_id)),
+ around as (select pts.*, coalesce(b.ts_ns, n.ts_ns) as t0, coalesce(n.ts_ns, b.ts_ns) as t1, coalesce(b.qy, n.qy) as y0, coalesce(n.qy, b.qy) as y1, coalesce(b.qw, n.qw) as w0, coalesce(n.qw, b.qw) as w1,
+    coalesce(b.px, n.px) as px0, coalesce(n.px, b.px) as px1, coalesce(b.py, n.py) as py0, coalesce(n.py, b.py) as py1, coalesce(b.pz, n.pz) as pz0, coalesce(n.pz, b.pz) as pz1
+   from pts asof left join path b on b.frame_id = pts.frame_id and pts.ts > b.ts_ns asof left join path n on n.frame_id = pts.frame_id and pts.ts <= n.ts_ns),
+ placed as (select *, case when t1 > t0 then greatest(0e0, least(1e0, (ts - t0)::double / (t1 - t0)::double)) else 0e0 end as a, x - {_X} as rx, z - {_Z} as rz, abs((ts::double - t::double) / 1e9) <= 0.15e0 as go from around),
+ quat as (select *, ((1e0 - a) * y0 + a * y1) as uy, ((1e0 - a) * w0 + a * w1) as uw from placed),
+ unit as (select *, uy / sqrt(uy * uy + uw * uw) as s, uw / sqrt(uy * uy + uw * uw) as c from quat),
+ desk as (select frame_id, point_idx, case when go then (1e0 - 2e0 * s * s) * rx + 2e0 * c * s * rz + {_X} + (1e0 - a) * px0 + a * px1 else x end as nx, case when go then y + (1e0 - a) * py0 + a * py1 else y end as ny,
+    case when go then (1e0 - 2e0 * s * s) * rz - 2e0 * c * s * rx + {_Z} + (1e0 - a) * pz0 + a * pz1 else z end as nz, x, y, z, go from unit),
+ gone as (select *, case when go then sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y) + (nz - z) * (nz - z)) end as moved from desk)"""
+
+
+def moving(final: str, upto: str | None = None) -> str:
+    """final behind the twins of motion compensation, and of the point pipeline up to `upto` over the points that it moved."""
+    names = ["points", "imu", "poses", "frames"]
+    text = "with recursive " + ",\n".join(f'"{n}" as ({CTE[n]})' for n in names) + MOVES + PATH + MOVED
+    for n in ORDER[len(RAW) : ORDER.index(upto) + 1] if upto else ():
+        if n == "norm":
+            text += f',\n"norm0" as ({CTE[n]}),\n"norm" as (select m.* replace (nx as x, ny as y, nz as z) from norm0 m join (select frame_id, point_idx, nx, ny, nz from desk) d using (frame_id, point_idx))'
+        else:
+            text += f',\n"{n}" as ({CTE[n]})'
+    return text + "\n" + final

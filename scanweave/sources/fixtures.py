@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schema import TF
+
 _POINTS = """
 select frame_id, point_idx, ring, o, cast(floor(x * 1048576e0 + 0.5e0) as bigint) / 1048576e0 as x, cast(floor(y * 1048576e0 + 0.5e0) as bigint) / 1048576e0 as y,
  cast(floor(z * 1048576e0 + 0.5e0) as bigint) / 1048576e0 as z, intensity
@@ -38,9 +40,12 @@ select event_id as seq, 1700000000000000000 + event_id * 2500000 as ts_ns, cast(
 from events
 """
 POSES = """
-select 1700000000000000000 + event_id * 2500000 as ts_ns, 10e0 * (event_id * 0.0025e0) as tx, sin(event_id * 0.0025e0) as ty, cast(0 as double) as tz
+select 1700000000000000000 + event_id * 2500000 as ts_ns, 10e0 * (event_id * 0.0025e0) as tx, sin(event_id * 0.0025e0) as ty, cast(0 as double) as tz,
+ cast(0 as double) as qx, cast(0 as double) as qy, sin(0.1e0 * sin(event_id * 0.0025e0)) as qz, cos(0.1e0 * sin(event_id * 0.0025e0)) as qw
 from events where event_id % 10 = 0
 """
+#: Place of the inertial unit in the sensor's frame.
+ARM = (0.3, 0.05, -0.1)
 FRAMES = """
 select distinct cast(floor(l_orderkey / 250) as bigint) as frame_id, 1700000000000000000 + cast(floor(l_orderkey / 250) as bigint) * 100000000 as header_ts_ns,
  1700000000000000000 + cast(floor(l_orderkey / 250) as bigint) * 100000000 - 20000000000 - (cast(floor(l_orderkey / 250) as bigint) % 7) * 1000000 as recv_ts_ns
@@ -82,6 +87,15 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, POSES, "events")
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sensor moving in the world, and the inertial unit on it."""
+    from ..config import DEFAULT
+    from .tf import moving_transforms
+
+    arm = spark.createDataFrame([("lidar", DEFAULT.imu_frame, 0, *ARM, 0.0, 0.0, 0.0, 1.0, True)], TF)
+    return moving_transforms(poses(spark, sf_dir), "odom", "lidar").unionByName(arm)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, FRAMES, "lineitem")
 
