@@ -6,6 +6,8 @@ points of one frame and its samples.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,38 +33,41 @@ def outside_gate(ts: Column, ref: Column) -> Column:
     return F.abs(ts - ref) > TIME_GATE
 
 
-def _quat_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    ax, ay, az, aw = a
-    bx, by, bz, bw = b
-    return np.array([aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw, aw * bw - ax * bx - ay * by - az * bz])
-
-
-def _quat_rotate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    t = 2 * np.cross(q[:3], v)
-    return v + q[3] * t + np.cross(q[:3], t)
+def _rotated(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Each v turned by its unit quaternion."""
+    t = 2 * np.cross(q[:, :3], v)
+    return v + q[:, 3:] * t + np.cross(q[:, :3], t)
 
 
 def integrate(ts: np.ndarray, gyro: np.ndarray, accel: np.ndarray, target: int, v0: np.ndarray, lever: np.ndarray, gravity: np.ndarray, sign: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """(quaternions, positions) at the samples, from rest of rotation and position at the sample nearest to target."""
+    """(quaternions, positions) at the samples, from rest of rotation and position at the sample nearest to target. Only
+    the product of the turns goes step by step; speeds and places are running sums."""
     n, m = len(ts), int(np.argmin(np.abs(ts - target)))
-    q, x, v = np.zeros((n, 4)), np.zeros((n, 3)), np.zeros((n, 3))
-    q[m, 3], v[m] = 1.0, v0
-    for step in (1, -1):
-        k = m
-        while 0 <= k + step < n:
-            j = k + step
-            dt = (int(ts[j]) - int(ts[k])) / 1e9
-            if step > 0 and (dt <= 0 or dt > 0.1):
-                dt = 0.01
-            if step < 0 and abs(dt) > 0.1:
-                dt = -0.01
-            w, a = AXES @ ((gyro[k] + gyro[j]) / 2), AXES @ ((accel[k] + accel[j]) / 2)
-            angle = np.linalg.norm(w * dt)
-            dq = np.append(w * dt / angle * np.sin(angle / 2), np.cos(angle / 2)) if angle > 1e-8 else np.array([0.0, 0.0, 0.0, 1.0])
-            full = _quat_rotate(q[k], a + np.cross(w, np.cross(w, lever))) + sign * gravity
-            nq = _quat_mul(q[k], dq)
-            q[j], x[j], v[j] = nq / np.linalg.norm(nq), x[k] + v[k] * dt + full * dt * dt / 2, v[k] + full * dt
-            k = j
+    q, x = np.tile([0.0, 0.0, 0.0, 1.0], (n, 1)), np.zeros((n, 3))
+    for at in (np.arange(m, n), np.arange(m, -1, -1)):  # forward, then backward
+        k, j = at[:-1], at[1:]
+        if not len(k):
+            continue
+        dt = (ts[j] - ts[k]) / 1e9
+        dt = np.where((dt <= 0) | (dt > 0.1), 0.01, dt) if j[0] > m else np.where(np.abs(dt) > 0.1, -0.01, dt)
+        w, a = ((gyro[k] + gyro[j]) / 2) @ AXES.T, ((accel[k] + accel[j]) / 2) @ AXES.T
+        turn = w * dt[:, None]
+        angle = np.linalg.norm(turn, axis=1)
+        some = angle > 1e-8
+        share = np.divide(np.sin(angle / 2), angle, out=np.zeros_like(angle), where=some)
+        dq = np.column_stack([turn * share[:, None], np.where(some, np.cos(angle / 2), 1.0)])
+        px, py, pz, pw = 0.0, 0.0, 0.0, 1.0
+        out = []
+        for bx, by, bz, bw in dq.tolist():
+            px, py, pz, pw = pw * bx + px * bw + py * bz - pz * by, pw * by - px * bz + py * bw + pz * bx, pw * bz + px * by - py * bx + pz * bw, pw * bw - px * bx - py * by - pz * bz
+            size = math.sqrt(px * px + py * py + pz * pz + pw * pw)
+            px, py, pz, pw = px / size, py / size, pz / size, pw / size
+            out.append((px, py, pz, pw))
+        q[j] = out
+        full = _rotated(q[k], a + np.cross(w, np.cross(w, lever))) + sign * gravity
+        dt = dt[:, None]
+        before = v0 + np.cumsum(np.vstack([np.zeros(3), full[:-1] * dt[:-1]]), axis=0)
+        x[j] = np.cumsum(before * dt + full * dt * dt / 2, axis=0)
     return q, x
 
 
@@ -92,7 +97,7 @@ def _path(f: Frame, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
     return integrate(f["ts_ns"], np.stack([f["wx"], f["wy"], f["wz"]], 1), np.stack([f["ax"], f["ay"], f["az"]], 1), int(f["header_ts_ns"][0]), v, arm, gravity, cfg.gravity_sign)
 
 
-def trajectories(moves: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def trajectories(frames: DataFrame, moves: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(frame_id, pose) for frames of at least two samples in their window: a row per sample, in order of time. `moves`
     is what frame_motion() gives."""
 
@@ -102,22 +107,22 @@ def trajectories(moves: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) ->
         q, x = _path(f, cfg)
         return {"ts_ns": f["ts_ns"], **{f"q{c}": q[:, k] for k, c in enumerate("xyzw")}, **{f"p{c}": x[:, k] for k, c in enumerate("xyz")}}
 
-    met = window_join(moves, samples.select("ts_ns", *SAMPLE)).select("frame_id", "ts_ns", *SAMPLE, *OF_FRAME)
+    met = window_join(frames.select("frame_id", "header_ts_ns"), samples.select("ts_ns", *SAMPLE)).drop("header_ts_ns").join(moves, "frame_id").select("frame_id", "ts_ns", *SAMPLE, *OF_FRAME)
     return per_frame(met, kernel, "frame_id bigint, " + TRAJECTORY, order="ts_ns")
 
 
-def frame_samples(moves: DataFrame, samples: DataFrame) -> DataFrame:
+def frame_samples(frames: DataFrame, moves: DataFrame, samples: DataFrame) -> DataFrame:
     """Samples in the window of each frame (`inside`), with the frame's motion. A frame with fewer than two gets the
     nearest ones before and after its window too, from which a rate of turn at any of its points follows."""
-    own = samples.select("ts_ns", *SAMPLE)
-    met = window_join(moves, own).select("frame_id", F.lit(True).alias("inside"), "ts_ns", *SAMPLE, *OF_FRAME)
+    heads, own = frames.select("frame_id", "header_ts_ns"), samples.select("ts_ns", *SAMPLE)
+    met = window_join(heads, own).select("frame_id", F.lit(True).alias("inside"), "ts_ns", *SAMPLE)
     enough = met.groupBy("frame_id").agg(F.count("*").alias("n")).filter("n >= 2").select("frame_id")
-    few = moves.join(enough, "frame_id", "left_anti")
-    rest = []
-    for side, at in (("p", C("header_ts_ns") - HALF_WINDOW - 1), ("n", C("header_ts_ns") + HALF_WINDOW + 1)):
-        near = as_of(few.withColumn("edge_ns", at), own, "edge_ns", list(SAMPLE))
-        rest.append(near.filter(C(f"{side}_ts_ns").isNotNull()).select("frame_id", F.lit(False).alias("inside"), *(C(f"{side}_{c}").alias(c) for c in ("ts_ns", *SAMPLE)), *OF_FRAME))
-    return met.unionByName(rest[0]).unionByName(rest[1])
+    ends = F.array(*(F.struct(F.lit(later).alias("later"), (C("header_ts_ns") + by).alias("at")) for later, by in ((False, -HALF_WINDOW - 1), (True, HALF_WINDOW + 1))))
+    few = heads.join(enough, "frame_id", "left_anti").select("frame_id", F.explode(ends).alias("e")).select("frame_id", "e.later", "e.at")
+    near = as_of(few, own, "at", list(SAMPLE))
+    side = {c: F.when(C("later"), C(f"n_{c}")).otherwise(C(f"p_{c}")).alias(c) for c in ("ts_ns", *SAMPLE)}
+    rest = near.select("frame_id", F.lit(False).alias("inside"), *side.values()).filter("ts_ns is not null")
+    return met.unionByName(rest).join(moves.select("frame_id", *OF_FRAME), "frame_id")
 
 
 def moved(xyz: np.ndarray, timestamp: np.ndarray, f: Frame, cfg: Config = DEFAULT) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +163,7 @@ def moved(xyz: np.ndarray, timestamp: np.ndarray, f: Frame, cfg: Config = DEFAUL
     return out, go
 
 
-def deskew_points(points: DataFrame, moves: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def deskew_points(points: DataFrame, frames: DataFrame, moves: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """points with x, y, z moved to their frame's time and a last column `moved`, the length of the move, null where a point
     stays. Points of frames without motion stay, and all do if there are no samples at all."""
     schema = StructType([*points.schema.fields, StructField("moved", DoubleType())])
@@ -179,7 +184,7 @@ def deskew_points(points: DataFrame, moves: DataFrame, samples: DataFrame, cfg:
         cols = [place.get(c, left.column(c)) for c in names]
         return pa.table([*cols, pa.array(gone, mask=~go)], [*names, "moved"]).cast(kinds)
 
-    met = frame_samples(moves, samples)
+    met = frame_samples(frames, moves, samples)
     return points.groupBy("frame_id").cogroup(met.groupBy("frame_id")).applyInArrow(run, schema)
 
 

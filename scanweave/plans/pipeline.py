@@ -39,7 +39,7 @@ def compensated(points: DataFrame, move: Motion | None, cfg: Config = BATCH) ->
     """Points at their frame's time, where that is asked for and something is known of the motion."""
     if move is None or not cfg.use_deskewing:
         return points
-    return deskew_points(points, frame_motion(move.frames, move.edges, move.body, cfg), move.samples, cfg).drop("moved")
+    return deskew_points(points, move.frames, frame_motion(move.frames, move.edges, move.body, cfg), move.samples, cfg).drop("moved")
 
 
 def obstacles(points: DataFrame, cfg: Config = BATCH, move: Motion | None = None) -> DataFrame:

@@ -198,11 +198,11 @@ def _moves(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("deskew_integrate", moving("select frame_id, ts_ns, 0e0 as qx, round(qy, 6) + 0e0 as qy, 0e0 as qz, round(qw, 6) as qw, round(px, 6) + 0e0 as px, round(py, 6) + 0e0 as py, round(pz, 6) + 0e0 as pz from path"))
 def deskew_integrate(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(dk.trajectories(_moves(spark, sf), fx.imu(spark, sf)))
+    return rounded(dk.trajectories(_frames(spark, sf), _moves(spark, sf), fx.imu(spark, sf)))
 
 
 def _moved(spark: SparkSession, sf: str) -> DataFrame:
-    return dk.deskew_points(fx.points(spark, sf), _moves(spark, sf), fx.imu(spark, sf))
+    return dk.deskew_points(fx.points(spark, sf), _frames(spark, sf), _moves(spark, sf), fx.imu(spark, sf))
 
 
 @query("deskew_points", moving("select frame_id, point_idx, round(nx, 6) + 0e0 as x, round(ny, 6) + 0e0 as y, round(nz, 6) + 0e0 as z, round(moved, 6) as moved from gone"))
