@@ -51,7 +51,14 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a written() table that no later step reads; what was written from it is on its own."""
+    _remove(df.sparkSession, df._written_to)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import written, table
+from .base import forget, join_counted, table, written
 from .graph import components
+from .marks import marks
 from .sums import summed
 from .words import WORD_BASE, U, Words, mix, running, signed, slices, spans
 
@@ -46,8 +47,6 @@ WHOLE_BLOCK = 256
 #: Groups of more classes than this are compared in blocks.
 SMALL_GROUP = 16
 NO_ID = (1 << 63) - 1
-#: Rows of (id, hash, node) that are broadcast to read the texts of candidates; past it texts are shuffled.
-WANTED_ROWS = 250_000
 
 
 def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -197,26 +196,33 @@ def _linked(percent: int):
     return 100 * common >= percent * (F.size("x") + F.size("y") - common)
 
 
-def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, links: bool = False) -> DataFrame:
+def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT, links: bool = False, small_group: int | None = SMALL_GROUP) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and `first`: whether the row's text is the
     component's representative (the smallest id; of its rows with different texts, the one with the least hash).
+    Groups of more classes than `small_group` are compared in blocks; with None all pairs come from the prefixes.
     With `links` also class_id, the smallest id of the rows with the same set, and n_links, the number of other rows that
     the row links to, those of its class among them."""
+    small_group = (1 << 62) if small_group is None else small_group
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), F.xxhash64("text").alias("th"), "text")
     freq = summed(rows.select("text"), _counts(k), COUNTERS)
-    members = written(rows.mapInArrow(_describe(k, percent, freq), "rid long, th long, n long, s1 long, s2 long, m int, prefix array<long>"))
-    classes = members.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("rid", "th")).alias("rep"), F.first("m").alias("m"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay
-    postings = classes.select("node", "n", "m", F.explode("prefix").alias("tok"))
-    pivots = postings.groupBy("tok").agg(F.min("node").alias("pivot"), F.count("*").alias("df")).filter("df > 1").drop("df")
-    hits = written(postings.join(pivots, "tok"))
+    described = written(rows.mapInArrow(_describe(k, percent, freq), "rid long, th long, n long, s1 long, s2 long, m int, prefix array<long>"))
+    members = written(described.drop("m", "prefix"))
+    sets_of = described.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(F.struct("rid", "th")).alias("rep"), F.first("m").alias("m"), F.first("prefix").alias("prefix"), F.count("*").alias("rows"))
+    sets_of = written(sets_of.withColumn("node", F.monotonically_increasing_id()))  # written, so the numbers stay
+    forget(described)
+    classes = written(sets_of.drop("m", "prefix"))
+    postings = sets_of.select("node", "n", "m", F.explode("prefix").alias("tok"))
+    pivots = written(postings.groupBy("tok").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).filter("rows > 1"))
+    # postings of tokens that no other class has are left out before anything moves
+    hits = written(join_counted(marks(pivots, "tok").keep(postings, "tok"), pivots, ["tok"], pivots.agg(F.sum("rows")).first()[0] or 0))
+    forget(sets_of)
 
     # groups: classes that share prefix shingles with one pivot
     near = hits.filter("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"), F.max("m").alias("m"))
     near = near.filter("c >= 2 and c >= m").groupBy("node").agg(F.max(F.struct("c", (-F.col("pivot")).alias("p"))).alias("best"))
     groups = components(near.select(F.col("node").alias("a"), (-F.col("best.p")).alias("b"))).withColumnRenamed("root", "grp")
-    large = groups.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL_GROUP).select("grp")
+    large = groups.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > small_group).select("grp")
     groups = written(groups.join(large, "grp"))
     # the class of a group that is close to most: the one whose prefix is shared the most
     share = hits.join(groups, "node").groupBy("grp", "node").agg((F.count("*") / F.max(F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("m"))).alias("r"))
@@ -236,9 +242,9 @@ def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     # whole sets of all classes that are compared
     wanted = groups.select("node").unionByName(pairs.select(F.col("node1").alias("node"))).unionByName(pairs.select(F.col("node2").alias("node"))).distinct()
-    wanted = written(classes.join(wanted, "node").select("node", F.col("rep.rid").alias("rid"), F.col("rep.th").alias("th")))
-    few = wanted.count() <= WANTED_ROWS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, ["rid", "th"]).select("node", "text")
+    wanted = written(classes.join(wanted, "node").select("node", F.col("rep.rid").alias("rid"), F.col("rep.th").alias("th")).withColumn("key", F.xxhash64("rid", "th")))
+    texts = marks(wanted, "key").keep(rows.select(F.xxhash64("rid", "th").alias("key"), "rid", "th", "text"), "key")
+    texts = texts.join(wanted.drop("key"), ["rid", "th"]).select("node", "text")
     if not members.groupBy("rid", "th").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty():  # repeated rows
         texts = texts.dropDuplicates(["node"])
     whole = written(texts.mapInArrow(_whole_sets(k), "node long, shingles array<long>"))
@@ -302,5 +308,17 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id")
 
 
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+walk as (select doc_id as node, doc_id as root from n union select e.b, walk.root from walk join e on e.a = walk.node)
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(r.root, doc_id) as component_id
+from documents left join n using (doc_id) left join (select node as doc_id, min(root) as root from walk group by node) r using (doc_id)
+"""
+
 QUERIES = {"op6_jaccard_join": op6_jaccard_join}
-ORACLES: dict = {}
+ORACLES = {"op6_jaccard_join": SQL}

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .words import U
 
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
-#: Bits of one bitmap that Spark builds.
-PART = 32768
+#: Bits of one bitmap that Spark builds, and rows that are looked at and given back at a time.
+PART, ROWS = 32768, 512
 
 
 @dataclass(frozen=True)
@@ -39,8 +39,11 @@ class Marks:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hit = self.has(b.column(key).to_numpy(zero_copy_only=False))
-                yield b.filter(pa.array(hit != others))
+                for lo in range(0, b.num_rows, ROWS):
+                    part = b.slice(lo, ROWS)
+                    hit = self.has(part.column(key).to_numpy(zero_copy_only=False)) != others
+                    if hit.any():
+                        yield part.filter(pa.array(hit))
 
         return rows.mapInArrow(run, rows.schema)
 

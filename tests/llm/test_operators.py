@@ -311,10 +311,9 @@ def test_jaccard_against_plain(docs, k, percent):
     same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], plain_components(TEXTS, k, percent))
 
 
-@pytest.mark.parametrize("small", [2, 16])
+@pytest.mark.parametrize("small", [2, 16, None])
 def test_jaccard_near_group(spark, monkeypatch, small):
     """Near copies of one text with edits of many sizes, in blocks of two sizes and as pairs."""
-    monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rng = np.random.default_rng(3)
     base = prose(9, 100).split()
@@ -325,7 +324,7 @@ def test_jaccard_near_group(spark, monkeypatch, small):
             w[j] = f"e{i}x{j}"
         texts.append((100 + i, " ".join(w), "s"))
     texts += [(i, prose(200 + i, 60) + " " + " ".join(base[:20]), "s") for i in range(20)]
-    got = jaccard.near_components(rows(spark, texts)).collect()
+    got = jaccard.near_components(rows(spark, texts), small_group=small).collect()
     same([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got], plain_components(texts, 4, 85))
 
 

@@ -77,19 +77,18 @@ def group_of_near_copies():
     return texts + [(i, prose(200 + i, 60) + " " + " ".join(base[:20]), "s") for i in range(20)] + [(None, " ".join(base), "s"), (500, "", "s"), (501, None, "s")]
 
 
-@pytest.mark.parametrize("small,block", [(2, 8), (16, 256), (1000, 8)])
+@pytest.mark.parametrize("small,block", [(2, 8), (16, 256), (None, 8)])
 def test_links_of_a_large_group(spark, monkeypatch, small, block):
     from scanweave.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = group_of_near_copies()
-    full = jaccard.near_components(rows(spark, texts), links=True)
+    full = jaccard.near_components(rows(spark, texts), links=True, small_group=small)
     got = full.select("doc_id", "class_id", "n_links").collect()
     assert Counter(map(tuple, got)) == Counter(plain_links(texts, 4, 85))
     assert max(r["n_links"] for r in got) > 20
     cols = ["doc_id", "n_shingles", "component_id", "first"]
-    assert Counter(map(tuple, full.select(cols).collect())) == Counter(map(tuple, jaccard.near_components(rows(spark, texts)).select(cols).collect()))
+    assert Counter(map(tuple, full.select(cols).collect())) == Counter(map(tuple, jaccard.near_components(rows(spark, texts), small_group=small).select(cols).collect()))
 
 
 def test_links_of_odd_rows(spark):
