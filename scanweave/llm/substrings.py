@@ -202,5 +202,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50)),
+least as (select h, min(doc_id) as lo from win group by h),
+gone as (select distinct doc_id, i + k as j from win join least using (h), (select unnest(range(50)) as k) where lo < doc_id),
+word as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as j from w),
+kept as (select doc_id, string_agg(word, ' ' order by j) as t, count(*) as n from word anti join gone using (doc_id, j) group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
+
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLES: dict = {}
+ORACLES = {"op1_substring_dedup": SQL}
