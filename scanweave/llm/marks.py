@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U
+from .words import U, release
 
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 #: Bits of one bitmap that Spark builds, and rows that are looked at and given back at a time.
@@ -44,6 +44,7 @@ class Marks:
                     hit = self.has(part.column(key).to_numpy(zero_copy_only=False)) != others
                     if hit.any():
                         yield part.filter(pa.array(hit))
+                release()
 
         return rows.mapInArrow(run, rows.schema)
 

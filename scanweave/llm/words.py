@@ -9,6 +9,7 @@ window hash costs the same for any window length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: malloc_trim of the C library, where it has it.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -138,6 +142,13 @@ def sliding_min(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(cur[:n], cur[k - width : k - width + n])
 
 
+def release() -> None:
+    """Gives freed memory back to the machine: a worker lives on, and its next task may be another query's."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows, so that a piece has about most_bytes of text or one row."""
     for batch in batches:
@@ -151,6 +162,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
             hi = max(lo + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        release()
 
 
 def signed(x: np.ndarray) -> np.ndarray:
