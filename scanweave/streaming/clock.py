@@ -30,10 +30,12 @@ def offsets_stream(arrivals: DataFrame) -> DataFrame:
 
 
 def windowed_imu(frames: DataFrame, samples: DataFrame, half_ms: int = 150, delay: str = "300 milliseconds") -> DataFrame:
-    """Stream of sweeps with the samples around each: a range join whose watermarks let old samples go. Both sides have an
-    event time `ts`."""
+    """Stream of sweeps (alias f) with the samples (alias s) around each: an equality on buckets as wide as the window, of
+    which a sweep meets two, and the range itself, whose watermarks let old samples go. Both sides have an event time `ts`."""
     from pyspark.sql import functions as F
 
-    f, s = frames.withWatermark("ts", delay).alias("f"), samples.withWatermark("ts", delay).alias("s")
-    near = F.expr(f"s.ts between f.ts - interval {half_ms} milliseconds and f.ts + interval {half_ms} milliseconds")
+    bucket = lambda by: F.floor((F.unix_millis("ts") + by) / (2 * half_ms))
+    f = frames.withWatermark("ts", delay).withColumn("bucket", F.explode(F.sequence(bucket(-half_ms), bucket(half_ms)))).alias("f")
+    s = samples.withWatermark("ts", delay).withColumn("bucket", bucket(0)).alias("s")
+    near = F.expr(f"f.bucket = s.bucket and s.ts between f.ts - interval {half_ms} milliseconds and f.ts + interval {half_ms} milliseconds")
     return f.join(s, near)
