@@ -32,8 +32,11 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a local one where none is set."""
+    """A new folder that all executors see: under spark.checkpoint.dir. Where none is set it is a local one if all tasks run
+    on this machine; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{next(tempfile._get_candidate_names())}" if base else tempfile.mkdtemp(prefix="scanweave-")
 
 

@@ -174,7 +174,7 @@ def test_streaming(spark, tmp_path):
     p = fixtures.points(spark, SF).drop("o")
     p.repartition(1).write.parquet(str(tmp_path / "in"))
     detect.start_detection(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == entry.queries()["pipeline_cones"](spark, SF).count()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == entry.queries()["pipeline_cones_still"](spark, SF).count()
 
 
 def test_clock_stream(spark, tmp_path):
