@@ -63,18 +63,20 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of neighbours' index vectors over the task's rows: rows of (chunk, task, sums)."""
     place, sign = index_vectors()
-    total = np.zeros(SLOTS * DIM, np.int64)
-    for cut in slices(batches, "text", 4 << 20):
+    sign = sign.astype(np.float64)
+    total = np.zeros(SLOTS * DIM, np.float64)  # whole numbers, exact below 2**53
+    for cut in slices(batches, "text", 2 << 20):
         t = Tokens(cut.column("text"))
         if not len(t):
             continue
         s, doc = t.slots(), t.doc_of_word()
+        base = s * DIM
         for d in range(1, REACH + 1):
-            same = doc[d:] == doc[:-d]
-            a, b = s[:-d][same], s[d:][same]
-            for x, y in ((a, b), (b, a)):
-                for k in range(NONZERO):
-                    total += np.bincount(x * DIM + place[y, k], sign[y, k], SLOTS * DIM).astype(np.int64)
+            same = np.flatnonzero(doc[d:] == doc[:-d])
+            # one count over all nonzeros of both neighbours: the table is gone over once
+            at = np.concatenate([base[same][:, None] + place[s[same + d]], base[same + d][:, None] + place[s[same]]])
+            total += np.bincount(at.ravel(), np.concatenate([sign[s[same + d]], sign[s[same]]]).ravel(), SLOTS * DIM)
+    total = total.astype(np.int64)
     sums = total.reshape(-1, CHUNK * DIM)
     yield _sums(range(len(sums)), TaskContext.get().partitionId(), [x.tobytes() for x in sums])
 
