@@ -68,6 +68,66 @@ def half_offsets(dim: int) -> np.ndarray:
     return grid[len(grid) // 2 + 1 :]
 
 
+Nearest = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _squared(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return x * x + y * y + z * z
+
+
+def _ranked(i: np.ndarray, j: np.ndarray, d2: np.ndarray, k: int) -> Nearest:
+    """The first k of each i by (d2, j)."""
+    by = np.lexsort((j, d2, i))
+    i, j, d2 = i[by], j[by], d2[by]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    use = rank < k
+    return i[use], j[use], rank[use], d2[use]
+
+
+def _nearest_of_all(xyz: np.ndarray, asked: np.ndarray, k: int) -> Nearest:
+    """Against every row; rows that are not finite come last."""
+    with np.errstate(invalid="ignore"):
+        d2 = _squared(*(c[asked][:, None] - c for c in xyz.T))
+        d2[np.arange(len(asked)), asked] = -1.0
+        at = min(k, len(xyz)) - 1
+        row, j = np.nonzero(~(d2 > np.partition(d2, at, 1)[:, at : at + 1]))
+    return _ranked(asked[row], j, d2[row, j], k)
+
+
+def nearest_within(xyz: np.ndarray, k: int, reach: float, most: int = 1 << 20) -> Nearest:
+    """(i, j, rank, d2) of the k nearest rows of each, itself at rank 0 with d2 -1, then by (d2, j). Candidates come from
+    cells of size `reach`, doubled for rows that have fewer than k within it, and from all rows where those are few or the
+    cells as large as the frame. About `most` candidates are held at a time, or those of one row."""
+    n, found = len(xyz), []
+    if not n:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float))
+    with np.errstate(invalid="ignore"):
+        extent = float((xyz.max(0) - xyz.min(0)).max())
+    reach = max(reach, extent / 2**19)  # keys of cells fit 64 bits
+    left = np.arange(n)
+    while len(left) * n > most and extent > 2 * reach and np.isfinite(extent):
+        key, weight, _ = cell_ids(np.floor((xyz - xyz.min(0)) / reach).astype(np.int64))
+        order = np.argsort(key, kind="stable")
+        sides = half_offsets(xyz.shape[1])
+        want = key[left] + (np.concatenate([-sides, 0 * sides[:1], sides]) @ weight)[:, None]
+        at = np.searchsorted(key[order], want)
+        count = np.searchsorted(key[order], want, "right") - at
+        total, again = np.cumsum(count.sum(0)), []
+        for part in np.split(np.arange(len(left)), np.unique(np.searchsorted(total, np.arange(most, total[-1], most)))):
+            per = count[:, part].T.ravel()
+            i = np.repeat(np.repeat(left[part], len(at)), per)
+            j = order[np.arange(per.sum()) + np.repeat(at[:, part].T.ravel() - np.cumsum(per) + per, per)]
+            d2 = np.where(i == j, -1.0, _squared(*(xyz[i] - xyz[j]).T))
+            near = d2 <= reach * reach
+            enough = np.bincount(i[near], minlength=n) >= min(k, n)
+            use = near & enough[i]
+            found.append(_ranked(i[use], j[use], d2[use], k))
+            again.append(left[part][~enough[left[part]]])
+        left, reach = np.concatenate(again), 2 * reach
+    found += [_nearest_of_all(xyz, left[s : s + max(1, most // n)], k) for s in range(0, len(left), max(1, most // n))]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def pairs_within(xyz: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """All i < j with a distance of at most radius, by cells of that size."""
     if len(xyz) < 2:

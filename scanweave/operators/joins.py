@@ -5,12 +5,12 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import COLUMNS, DEFAULT, RINGS
 from ..functions.scalars import beta, cell, image_column, in_image, ring_step
-from .frames import Frame, pairs_within, per_frame
+from .frames import Frame, nearest_within, pairs_within, per_frame
 
 C = F.col
 
@@ -41,18 +41,15 @@ def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest_neighbours(points: DataFrame, k: int, reach: float) -> DataFrame:
-    """(frame_id, point_idx, rank, nbr, d) of the k nearest points of each, itself at rank 0, ties by index. Neighbours are
-    sought within `reach`; points that have fewer than k there meet their whole frame instead, so none is missed."""
-    close = radius_pairs(points, reach)
-    both = close.select("frame_id", C("a").alias("point_idx"), C("b").alias("nbr"), "d2").unionByName(close.select("frame_id", C("b").alias("point_idx"), C("a").alias("nbr"), "d2"))
-    own = points.select("frame_id", "point_idx", C("point_idx").alias("nbr"), F.lit(-1.0).alias("d2"))
-    some = own.unionByName(both)
-    few = points.join(some.groupBy("frame_id", "point_idx").agg(F.count("*").alias("n")).filter(C("n") < k), ["frame_id", "point_idx"], "left_semi")
-    far = few.select("frame_id", "point_idx", *(C(v).alias(f"l_{v}") for v in "xyz")).join(points.select("frame_id", C("point_idx").alias("nbr"), "x", "y", "z"), "frame_id").filter("point_idx <> nbr")
-    far = far.select("frame_id", "point_idx", "nbr", sum(((C(f"l_{v}") - C(v)) * (C(f"l_{v}") - C(v)) for v in "yz"), (C("l_x") - C("x")) * (C("l_x") - C("x"))).alias("d2"))
-    every = some.unionByName(far).groupBy("frame_id", "point_idx", "nbr").agg(F.min("d2").alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("frame_id", "point_idx").orderBy("d2", "nbr")) - 1
-    return every.withColumn("rank", rank).filter(C("rank") < k).select("frame_id", "point_idx", "rank", "nbr", F.sqrt(F.greatest(F.lit(0.0), C("d2"))).alias("d"))
+    """(frame_id, point_idx, rank, nbr, d) of the k nearest points of each, itself at rank 0, ties by index. All of it is
+    one kernel per frame, which is dealt once: neighbours are sought within `reach`, and within twice that for points that
+    have fewer than k there, up to the whole frame, so none is missed."""
+
+    def kernel(f: Frame) -> Frame:
+        i, j, rank, d2 = nearest_within(np.stack([f["x"], f["y"], f["z"]], 1), k, reach)
+        return {"point_idx": f["point_idx"][i], "rank": rank, "nbr": f["point_idx"][j], "d": np.sqrt(np.maximum(0.0, d2))}
+
+    return per_frame(points.select("frame_id", "point_idx", "x", "y", "z"), kernel, "frame_id bigint, point_idx bigint, rank int, nbr bigint, d double")
 
 
 def range_image(points: DataFrame) -> DataFrame:

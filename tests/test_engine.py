@@ -10,9 +10,12 @@ import __spark_entry__ as entry
 from scanweave.config import DEFAULT, Config
 from scanweave.functions import rotation as rot
 from scanweave.operators import cluster as cl
-from scanweave.operators import deskew, features, greedy, ground, temporal
+from scanweave.operators import deskew, features, greedy, ground, joins, temporal
 from scanweave.operators.analytics import distance_bin
 from scanweave.operators.decode import decode
+from scanweave.operators.frames import nearest_within
+from scanweave.plans import pipeline
+from scanweave.sources import fixtures
 from scanweave.streaming import clock, detect
 
 SF = "/root/testdata/sf0.001"
@@ -186,3 +189,31 @@ def test_clock_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, temporal.clock_offsets(d).collect()))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("sensor", "seq", "offset").collect())) == want
+
+
+def test_nearest_moves_points_once(spark):
+    """Copies, ties, clusters and far points against all pairs; the plan deals points once and joins nothing."""
+    rng = np.random.default_rng(0)
+    rows = np.concatenate([np.repeat(rng.normal(0, 5, (3, 3)), 12, 0), np.round(rng.normal(0, 1, (40, 3)), 1), [[25.0, 25, 1], [-25, 3, 1]]])
+    df = joins.nearest_neighbours(points(spark, [(*map(float, r), 1.0, 0) for r in rows]), 8, 0.15)
+    d2 = lambda a, b: -1.0 if a == b else sum((rows[a][c] - rows[b][c]) ** 2 for c in range(3))
+    want = {(a, r): b for a in range(len(rows)) for r, b in enumerate(sorted(range(len(rows)), key=lambda b: (d2(a, b), b))[:8])}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["point_idx"], r["rank"]): r["nbr"] for r in df.collect()} == want
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange ") == 1
+
+
+@pytest.mark.parametrize("most", [1, 60, 1 << 20])
+@pytest.mark.parametrize("spread", [0.0, 0.01, 1.0, 30.0])
+def test_nearest_within(spread, most):
+    rng = np.random.default_rng(1)
+    xyz = np.concatenate([rng.normal(0, spread, (50, 3)), [[1e9, 0, 0]]])
+    d2 = ((xyz[:, None] - xyz) ** 2).sum(2)
+    np.fill_diagonal(d2, -1.0)
+    i, j, rank, _ = nearest_within(xyz, 5, 0.15, most)
+    assert sorted(zip(i, rank, j, strict=True)) == [(a, r, b) for a in range(51) for r, b in enumerate(np.lexsort((np.arange(51), d2[a]))[:5])]
+
+
+def test_filters_do_not_repeat_the_text_of_points(spark):
+    plan = pipeline.obstacles(fixtures.points(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "COS(" in x]
