@@ -109,13 +109,7 @@ def config_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def _profiles_there(spark: SparkSession, sf: str) -> str:
     path = scratch(spark)
-    docs = sinks.profile_documents(fx.profiles(spark, sf)).select("value")
-    # one file per document, under the name that readers look for
-    for k, row in enumerate(docs.toLocalIterator()):
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/profiler_{k}.json")
-        out = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fs, True)
-        out.write(bytearray(row["value"].encode()))
-        out.close()
+    sinks.write_profile_files(fx.profiles(spark, sf), path)
     return path
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -13,16 +16,55 @@ C = F.col
 COLORS = {"BLUE": (0.0, 0.0, 1.0), "YELLOW": (1.0, 1.0, 0.0), "ORANGE": (1.0, 0.5, 0.0), "ORANGE_BIG": (1.0, 0.3, 0.0), "UNKNOWN": (0.7, 0.7, 0.7)}
 
 
+def _profile_frame() -> Column:
+    """A frame of a profile: milliseconds to 3 and metres to 5 digits."""
+    ms = [F.round(c, 3).alias(c) for c in (*PHASES, "total_ms")]
+    metres = [F.round(c, 5).alias(c) for c in ("deskew_avg_translation_m", "deskew_max_translation_m")]
+    return F.struct("frame_id", *ms, "cones_detected", *metres)
+
+
 def profile_documents(log: DataFrame) -> DataFrame:
     """One JSON document per algorithm: metadata and frames, milliseconds to 3 and metres to 5 digits. A document is a
     run's log, a row per frame."""
-    ms = [F.round(c, 3).alias(c) for c in (*PHASES, "total_ms")]
-    metres = [F.round(c, 5).alias(c) for c in ("deskew_avg_translation_m", "deskew_max_translation_m")]
-    frame = F.struct("frame_id", *ms, "cones_detected", *metres)
-    docs = log.groupBy("algorithm").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(frame)).alias("raw_frames"))
+    docs = log.groupBy("algorithm").agg(F.count("*").cast("int").alias("n"), F.sort_array(F.collect_list(_profile_frame())).alias("raw_frames"))
     return docs.select("algorithm", F.to_json(F.struct(F.struct("algorithm", C("n").alias("total_frames")).alias("metadata"), "raw_frames")).alias("value"))
 
 
+def write_profile_files(log: DataFrame, path: str, frames: int = 20_000) -> None:
+    """profiler_*.json.gz files, a document each, under the name that readers look for. Each task writes what it has of an
+    algorithm, in order, and begins another document after so many frames: nothing is shuffled, a document fits in a
+    task, and the driver only renames. total_frames is that of the document. Rows without an algorithm have no
+    document that a reader takes."""
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, []
+
+        def closed() -> pa.RecordBatch:
+            # the name comes as JSON text, and so do the frames
+            return pa.RecordBatch.from_arrays([pa.array([f'{{"metadata":{{"algorithm":{head},"total_frames":{len(held)}}},"raw_frames":[{",".join(held)}]}}'])], ["value"])
+
+        for batch in batches:
+            for name, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (name != head or len(held) == frames):
+                    yield closed()
+                    held = []
+                head = name
+                held.append(frame)
+        if held:
+            yield closed()
+
+    name = F.regexp_extract(F.to_json(F.struct("algorithm")), r'(?s)^\{"algorithm":(.*)\}$', 1)
+    rows = log.filter("algorithm is not null").sortWithinPartitions("algorithm", "frame_id").select(name.alias("algorithm"), F.to_json(_profile_frame()).alias("frame"))
+    rows.mapInArrow(documents, "value string").write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    spark = log.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    for k, part in enumerate(parts):
+        if not fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(folder, f"profiler_{k}.json.gz")):
+            raise OSError(f"{part} could not be renamed")
+
+
 def write_profiles(log: DataFrame, path: str) -> None:
     """A folder per algorithm with profiler JSON, and the rows themselves as Parquet beside."""
     profile_documents(log).write.mode("overwrite").partitionBy("algorithm").text(f"{path}/json")

@@ -1,5 +1,7 @@
 """The engine against SQL twins and hand-made cases."""
 
+import gzip
+import json
 import math
 
 import numpy as np
@@ -7,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from scanweave import schema
 from scanweave.config import DEFAULT, Config
 from scanweave.functions import rotation as rot
 from scanweave.operators import cluster as cl
@@ -15,7 +18,7 @@ from scanweave.operators.analytics import distance_bin
 from scanweave.operators.decode import decode
 from scanweave.operators.frames import nearest_within
 from scanweave.plans import pipeline
-from scanweave.sources import fixtures
+from scanweave.sources import fixtures, readers, sinks
 from scanweave.streaming import clock, detect
 
 SF = "/root/testdata/sf0.001"
@@ -172,7 +175,7 @@ def test_config():
 
 
 def test_streaming(spark, tmp_path):
-    from scanweave.sources import fixtures
+    from scanweave.sources import fixtures, readers, sinks
 
     p = fixtures.points(spark, SF).drop("o")
     p.repartition(1).write.parquet(str(tmp_path / "in"))
@@ -217,3 +220,32 @@ def test_nearest_within(spread, most):
 def test_filters_do_not_repeat_the_text_of_points(spark):
     plan = pipeline.obstacles(fixtures.points(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.split("\n") if "Filter" in x and "COS(" in x]
+
+
+def profile_log(spark, rows):
+    cols = [f"0.5D as {p}" for p in schema.PHASES]
+    return spark.createDataFrame(rows, "algorithm string, frame_id int, deskew_avg_translation_m double").selectExpr("*", *cols, "1.25D as total_ms", "frame_id % 3 as cones_detected", "1D as deskew_max_translation_m")
+
+
+def test_profile_files_are_bounded_and_whole(spark, tmp_path):
+    """Each document has so many frames at most, names need no care, and readers get every row of runs with displacements."""
+    rows = [(name, k, None if name == "still" else k / 8) for name in ("grid", 'a "b" \\ }\n', "still") for k in range(25)]
+    sinks.write_profile_files(profile_log(spark, rows).repartition(3), str(tmp_path / "p"), 4)
+    got = readers.json_profiles(spark, str(tmp_path / "p"))
+    assert sorted((r["algorithm"], r["frame_id"]) for r in got.collect()) == sorted(r[:2] for r in rows)
+    docs = [json.loads(gzip.decompress(f.read_bytes())) for f in (tmp_path / "p").glob("profiler_*.json.gz")]
+    assert {len(d["raw_frames"]) - d["metadata"]["total_frames"] for d in docs} == {0} and max(len(d["raw_frames"]) for d in docs) == 4
+    assert sorted(tuple(r) for r in readers.json_deskew(spark, str(tmp_path / "p")).select("algorithm", "frame_id", "deskew_avg_translation_m").collect()) == sorted(r for r in rows if r[2] is not None)
+
+
+def test_src_json_deskew_keeps_documents_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def no(*_, **__):
+        raise AssertionError("documents go to the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", no)
+        m.setattr(DataFrame, "collect", no)
+        df = entry.queries()["src_json_deskew"](spark, SF)
+    assert df.count() == spark.read.parquet(f"{SF}/events.parquet").count()
