@@ -238,7 +238,8 @@ def test_profile_files_are_bounded_and_whole(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.json_deskew(spark, str(tmp_path / "p")).select("algorithm", "frame_id", "deskew_avg_translation_m").collect()) == sorted(r for r in rows if r[2] is not None)
 
 
-def test_src_json_deskew_keeps_documents_off_the_driver(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["src_json_deskew", "src_json_profiles"])
+def test_documents_stay_off_the_driver(spark, monkeypatch, name):
     from pyspark.sql.classic.dataframe import DataFrame
 
     def no(*_, **__):
@@ -247,5 +248,5 @@ def test_src_json_deskew_keeps_documents_off_the_driver(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(DataFrame, "toLocalIterator", no)
         m.setattr(DataFrame, "collect", no)
-        df = entry.queries()["src_json_deskew"](spark, SF)
+        df = entry.queries()[name](spark, SF)
     assert df.count() == spark.read.parquet(f"{SF}/events.parquet").count()
