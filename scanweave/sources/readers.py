@@ -38,10 +38,10 @@ def replay(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of all profiler_*.json files under a folder, gzipped ones too, tagged with their run's algorithm. Malformed
-    and empty files give no rows. A task holds one document."""
+    """Frames of all profiler_*.json files under a folder, gzipped ones too, tagged with their run's algorithm, which may
+    be null. Malformed and empty files, and those without metadata, give no rows. A task holds one document."""
     docs = spark.read.schema(schema.PROFILE).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "profiler_*.json{,.gz}").json(path)
-    return docs.filter("metadata.algorithm is not null").select(C("metadata.algorithm").alias("algorithm"), F.inline("raw_frames"))
+    return docs.filter("metadata is not null").select(C("metadata.algorithm").alias("algorithm"), F.inline("raw_frames"))
 
 
 def json_deskew(spark: SparkSession, path: str) -> DataFrame:

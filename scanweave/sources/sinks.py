@@ -33,8 +33,8 @@ def profile_documents(log: DataFrame) -> DataFrame:
 def write_profile_files(log: DataFrame, path: str, frames: int = 20_000) -> None:
     """profiler_*.json.gz files, a document each, under the name that readers look for. Each task writes what it has of an
     algorithm, in order, and begins another document after so many frames: nothing is shuffled, a document fits in a
-    task, and the driver only renames. total_frames is that of the document. Rows without an algorithm have no
-    document that a reader takes."""
+    task, and the driver only renames. total_frames is that of the document. Rows without an algorithm are in documents
+    whose algorithm is null."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, held = None, []
@@ -53,8 +53,8 @@ def write_profile_files(log: DataFrame, path: str, frames: int = 20_000) -> None
         if held:
             yield closed()
 
-    name = F.regexp_extract(F.to_json(F.struct("algorithm")), r'(?s)^\{"algorithm":(.*)\}$', 1)
-    rows = log.filter("algorithm is not null").sortWithinPartitions("algorithm", "frame_id").select(name.alias("algorithm"), F.to_json(_profile_frame()).alias("frame"))
+    name = F.regexp_extract(F.to_json(F.struct("algorithm"), {"ignoreNullFields": "false"}), r'(?s)^\{"algorithm":(.*)\}$', 1)
+    rows = log.sortWithinPartitions("algorithm", "frame_id").select(name.alias("algorithm"), F.to_json(_profile_frame()).alias("frame"))
     rows.mapInArrow(documents, "value string").write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
     spark = log.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

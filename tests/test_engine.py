@@ -250,3 +250,23 @@ def test_documents_stay_off_the_driver(spark, monkeypatch, name):
         m.setattr(DataFrame, "collect", no)
         df = entry.queries()[name](spark, SF)
     assert df.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_profiles_without_an_algorithm_are_read_and_bad_files_are_not(spark, tmp_path):
+    rows = [(None, 0, 0.5), ("null", 1, 0.5), (None, 2, None), ("", 3, 0.5)]
+    sinks.write_profile_files(profile_log(spark, rows), str(tmp_path / "p"))
+    for k, text in enumerate(("", "{", "[]", '{"raw_frames": [{"frame_id": 9}]}', '{"metadata": 3, "raw_frames": [{"frame_id": 9}]}')):
+        (tmp_path / "p" / f"profiler_bad{k}.json").write_text(text)
+    got = readers.json_profiles(spark, str(tmp_path / "p")).select("algorithm", "frame_id", "deskew_avg_translation_m")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
+@pytest.mark.parametrize("name", ["src_json_deskew", "src_json_profiles"])
+def test_twin_with_events_of_no_type(spark, tmp_path, name):
+    import duckdb
+
+    spark.read.parquet(f"{SF}/events.parquet").withColumn("event_type", F.expr("if(event_id % 7 = 0, null, event_type)")).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()), key=str)
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(c.sql(entry.oracle_sql()[name]).fetchall(), key=str)
